@@ -26,6 +26,7 @@ from tidewater.llm._common import slices, table, text_bytes
 
 DIM, ORDERS, CENTROIDS = 4096, (1, 2, 3), 4
 PER_LANG, SAMPLE, LANGUAGES = 400, 8000, 2000
+FULL = 1500  # n-grams from which the bound for rejection holds in full
 UND = "und"
 #: ASCII letters and all bytes of other characters stay; the rest separates words.
 LETTERS = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
@@ -126,8 +127,10 @@ def fit(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, sample: int =
 def predict(texts: list[str | None], model: dict) -> tuple[list[str], list[float], list[bool]]:
     langs, scores, rejected = [], [], []
     usable = [has_letter(t) for t in texts]
-    sim = vectors(counts([t or "" for t in texts]), model["idf"]) @ model["centroids"].T
-    for row, ok in zip(sim, usable, strict=True):
+    count = counts([t or "" for t in texts])
+    ease = np.minimum(1, np.sqrt(count.sum(1) / FULL))  # short texts are less like any centroid
+    sim = vectors(count, model["idf"]) @ model["centroids"].T
+    for row, ok, few in zip(sim, usable, ease, strict=True):
         if not ok or not len(row):
             langs.append(UND)
             scores.append(0.0)
@@ -136,7 +139,7 @@ def predict(texts: list[str | None], model: dict) -> tuple[list[str], list[float
         best = int(row.argmax())
         langs.append(model["langs"][model["owner"][best]])
         scores.append(round(min(1.0, max(0.0, float(row[best]))), 5))
-        rejected.append(bool(row[best] < model["least"][best]))
+        rejected.append(bool(row[best] < few * model["least"][best]))
     return langs, scores, rejected
 
 
