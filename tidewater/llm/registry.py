@@ -12,6 +12,8 @@ MODULES = {
     "op4_language_id": "langid",
     "op5_byte_bpe": "bpe",
     "op7_permutation_index": "ann",
+    "op8_suffix_dedup": "suffix_dedup",
+    "op9_jaccard_join": "jaccard_join",
     "op10_token_counts": "token_counts",
 }
 
