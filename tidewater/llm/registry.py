@@ -11,6 +11,7 @@ MODULES = {
     "op3_compression_bands": "quality",
     "op4_language_id": "langid",
     "op5_byte_bpe": "bpe",
+    "op6_context_mixing": "context_mixing",
     "op7_permutation_index": "ann",
     "op8_suffix_dedup": "suffix_dedup",
     "op9_jaccard_join": "jaccard_join",
