@@ -38,7 +38,7 @@ from tidewater.llm.components import connected_components
 
 WORDS, PERCENT = 4, 85
 FREQUENT, LEAST_DF, LOW_BITS = 1 << 19, 8, 2
-SINGLES_FROM, PAIRS_UPTO = 170, 235  # 170 = 85 % of 200, and 200 = 85 % of 235
+PAIRS_UPTO = 235  # larger sets, and those similar to such, are indexed singly
 SKETCH = 512
 SLICE = 2 << 20
 
@@ -121,13 +121,13 @@ class Sets:
         return np.packbits(bits.astype(np.uint8).reshape(-1, SKETCH), axis=1)
 
 
-def _classes(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def _classes(batches: Iterator[pa.RecordBatch], bits: int, words: int) -> Iterator[pa.RecordBatch]:
     """A row for each document; and packed shingles by block of their hash, for the frequencies."""
     names = ["doc_id", "n", "cls", "sketch", "block", "packed"]
     for whole in batches:
         low = []
         for batch in slices(whole, "text", SLICE):
-            sets = Sets(batch.column("text"))
+            sets = Sets(batch.column("text"), words)
             sketch = sets.sketches()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.n), pa.array(sets.cls), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())], names)
             own = np.isin(sets.doc, sets.first_of_class())
@@ -150,11 +150,11 @@ def _frequent(group: pa.Table) -> pa.Table:
     return pa.table({"short": pa.array(short, pa.int64()), "level": pa.array(np.log2(n[often]).astype(np.int32), pa.int32())})
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], shared, bits: int) -> Iterator[pa.RecordBatch]:
+def _prefixes(batches: Iterator[pa.RecordBatch], shared, bits: int, words: int, percent: int) -> Iterator[pa.RecordBatch]:
     short, level = shared.value
     for whole in batches:
         for batch in slices(whole, "text", SLICE):
-            sets = Sets(batch.column("text"))
+            sets = Sets(batch.column("text"), words)
             chosen = sets.first_of_class()
             own = np.isin(sets.doc, chosen[sets.n[chosen] > 1])
             t, doc = sets.tokens[own], sets.doc[own]
@@ -170,9 +170,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shared, bits: int) -> Iterator[
             start = np.zeros(len(sets.n) + 1, np.int64)
             np.cumsum(np.bincount(doc, minlength=len(sets.n)), out=start[1:])
             place = np.arange(len(t)) - start[doc]
-            inside = place < n + (-PERCENT * n) // 100 + 2  # n - ceil(t n) + k
+            inside = place < n + (-percent * n) // 100 + 2  # n - ceil(t n) + k
             t, doc, rank, n = t[inside], doc[inside], rank[inside], n[inside]
-            single = (rank < 2) | (n >= SINGLES_FROM)
+            single = (rank < 2) | (n >= PAIRS_UPTO * percent // 100)
             keys, owners = [t[single].view(np.int64)], [doc[single]]
             pair = (rank >= 2) & (n <= PAIRS_UPTO)
             for d in np.unique(doc[pair]).tolist():
@@ -226,7 +226,7 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (token, n, cls)], ["token", "n", "cls"])
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stars(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Each class with the smallest set of its list that it may be similar to: the first, or the first out of its reach."""
     hub = None  # token, n, cls
     for batch in batches:
@@ -235,11 +235,11 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else []
         for x, y in zip(cuts, [*cuts[1:], len(token)], strict=False):
             while x < y:
-                if hub is None or hub[0] != token[x] or 100 * hub[1] < PERCENT * n[x]:
+                if hub is None or hub[0] != token[x] or 100 * hub[1] < percent * n[x]:
                     hub = (token[x], n[x], cls[x])
                     x += 1
                     continue
-                z = x + int(np.searchsorted(n[x:y], 100 * hub[1] // PERCENT, "right"))
+                z = x + int(np.searchsorted(n[x:y], 100 * hub[1] // percent, "right"))
                 a.append(np.full(z - x, hub[2]))
                 b.append(cls[x:z])
                 x = z
@@ -248,15 +248,15 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def _apart(sa: np.ndarray, sb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+def _apart(sa: np.ndarray, sb: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     """Whether sketches prove the sets not similar."""
     differ = np.bitwise_count(sa ^ sb).sum(-1).astype(np.int64)
     total = na + nb
-    need = -(-PERCENT * total // (100 + PERCENT))  # least intersection
+    need = -(-percent * total // (100 + percent))  # least intersection
     return differ > total - 2 * need
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """All pairs of a list across components that the sketches don't prove apart."""
     for rows in _runs(batches, ["token", "n", "cls", "label", "sketch"]):
         token, n, cls, label = (rows[c].to_numpy() for c in ("token", "n", "cls", "label"))
@@ -273,8 +273,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 done[mine] = True
                 other = np.flatnonzero(~done)
                 for i in mine.tolist():
-                    near = other[(100 * np.minimum(n[x + i], n[x + other]) >= PERCENT * np.maximum(n[x + i], n[x + other]))]
-                    near = near[~_apart(sketch[x + i], sketch[x + near], n[x + i], n[x + near])]
+                    near = other[(100 * np.minimum(n[x + i], n[x + other]) >= percent * np.maximum(n[x + i], n[x + other]))]
+                    near = near[~_apart(sketch[x + i], sketch[x + near], n[x + i], n[x + near], percent)]
                     a.append(np.full(len(near), cls[x + i]))
                     b.append(cls[x + near])
         if a:
@@ -282,43 +282,44 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def _unproven(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unproven(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, SKETCH // 64) for c in ("sa", "sb"))
         na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
-        yield batch.select(["a", "b"]).filter(pa.array(~_apart(sa, sb, na, nb), pa.bool_()))
+        yield batch.select(["a", "b"]).filter(pa.array(~_apart(sa, sb, na, nb, percent), pa.bool_()))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text", SLICE):
-            sets = Sets(batch.column("text"))
+            sets = Sets(batch.column("text"), words)
             own = [sets.tokens[a:b].tobytes() for a, b in zip(sets.at, sets.at[1:], strict=False)]
             rows = pa.RecordBatch.from_arrays([pa.array(sets.cls), batch.column("cls"), pa.array(own, pa.binary())], ["found", "cls", "tokens"])
             yield rows.filter(pa.array(sets.cls == batch.column("cls").to_numpy(zero_copy_only=False))).select(["cls", "tokens"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = np.sort(np.concatenate([x, y]))
             common = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
+            keep.append(100 * common >= percent * (len(x) + len(y) - common))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 class Join:
     """The steps over one table of documents (doc_id, text)."""
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, words: int = WORDS, percent: int = PERCENT):
+        self.words, self.percent = words, percent
         self.spark, self.n = docs.sparkSession, shuffle_partitions(docs.sparkSession)
         self.docs = docs.select("doc_id", "text")
         self.bits = max(4, (4 * self.n - 1).bit_length())
         self.paths: list[str] = []
         kind = self.docs.schema["doc_id"].dataType.simpleString()
-        scanned = self.docs.mapInArrow(lambda b, k=self.bits: _classes(b, k), f"doc_id {kind}, n long, cls long, sketch binary, block int, packed binary")
+        scanned = self.docs.mapInArrow(lambda b, k=self.bits: _classes(b, k, words), f"doc_id {kind}, n long, cls long, sketch binary, block int, packed binary")
         self.scanned = self.keep(scanned, "jaccard-sets")
         #: (doc_id, n, cls)
         self.rows = self.scanned.where("n is not null").select("doc_id", "n", "cls")
@@ -347,8 +348,8 @@ class Join:
 
     def postings(self) -> DataFrame:
         shared = self.spark.sparkContext.broadcast(self.frequent())
-        bits = self.bits
-        rows = self.docs.mapInArrow(lambda b: _prefixes(b, shared, bits), "token long, n long, cls long")
+        bits, words, percent = self.bits, self.words, self.percent
+        rows = self.docs.mapInArrow(lambda b: _prefixes(b, shared, bits, words, percent), "token long, n long, cls long")
         rows = rows.repartition(self.n, "token").sortWithinPartitions("token", "n", "cls")
         return self.keep(rows.mapInArrow(_posted, "token long, n long, cls long"), "jaccard-postings")
 
@@ -357,40 +358,42 @@ class Join:
 
     def similar(self, pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs (a, b), those whose sets are similar."""
+        words, percent = self.words, self.percent
         of = lambda s: self.classes.select(F.col("cls").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
-        pairs = pairs.distinct().join(of("a"), "a").join(of("b"), "b").mapInArrow(_unproven, "a long, b long")
+        pairs = pairs.distinct().join(of("a"), "a").join(of("b"), "b").mapInArrow(lambda x: _unproven(x, percent), "a long, b long")
         pairs = self.keep(pairs, f"{name}-candidates")
         wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(self.classes.select("cls", "doc_id"), "cls")
         texts = self.docs.join(wanted, self.docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "cls")
-        sets = self.keep(texts.mapInArrow(_sets, "cls long, tokens binary").dropDuplicates(["cls"]), f"{name}-tokens")
+        sets = self.keep(texts.mapInArrow(lambda x: _sets(x, words), "cls long, tokens binary").dropDuplicates(["cls"]), f"{name}-tokens")
         joined = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
-        return self.keep(joined.mapInArrow(_verified, "a long, b long"), f"{name}-links")
+        return self.keep(joined.mapInArrow(lambda x: _verified(x, percent), "a long, b long"), f"{name}-links")
 
     def across(self, postings: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs of the lists whose classes have several labels (cls, label; none: the class itself)."""
+        percent = self.percent
         rows = postings.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         open_lists = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
         rows = rows.join(open_lists, "token", "left_semi").join(self.classes.select("cls", "sketch"), "cls")
-        return self.sorted_lists(rows.select("token", "n", "cls", "label", "sketch")).mapInArrow(_across, "a long, b long")
+        return self.sorted_lists(rows.select("token", "n", "cls", "label", "sketch")).mapInArrow(lambda x: _across(x, percent), "a long, b long")
 
     def done(self) -> None:
         for path in self.paths[1:]:
             drop_stored(self.spark, path)
 
 
-def all_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def all_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Every pair (a, b) of similar classes, and the membership (doc_id, n, cls)."""
-    join = Join(docs)
+    join = Join(docs, words, percent)
     postings = join.postings()
     none = join.spark.createDataFrame([], "cls long, label long")
     return join.similar(join.across(postings, none), "jaccard-all"), join.rows
 
 
-def components(docs: DataFrame) -> DataFrame:
+def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row."""
-    join = Join(docs)
+    join = Join(docs, words, percent)
     postings = join.postings()
-    stars = join.sorted_lists(postings).mapInArrow(_stars, "a long, b long")
+    stars = join.sorted_lists(postings).mapInArrow(lambda x: _stars(x, percent), "a long, b long")
     links = join.similar(stars, "jaccard-1")
     labels, path = connected_components(links)
     join.paths.append(path)
@@ -403,5 +406,18 @@ def components(docs: DataFrame) -> DataFrame:
     return out
 
 
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs with one document of each group of similar ones, the one with the smallest id.
+
+    Documents without a word and rows without an id stay; of rows with equal id and text one stays.
+    """
+    groups, _ = stored(components(docs, words, percent), "jaccard-groups")
+    kept = groups.where((F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0)).select("doc_id").distinct()
+    out = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    if not groups.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out.union(docs.where("doc_id is null"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"))
