@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -55,6 +56,16 @@ def drop_stored(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps.
+
+    Spark deletes them when the driver's heap no longer holds their plans, which can be long after the
+    results were written; a collection on the driver makes it now.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of a string column; null is the empty text."""
     return [x or "" for x in column.to_pylist()]

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm._common import drop_stored, mix, shuffle_partitions, slices, stored, table, text_bytes
+from tidewater.llm._common import drop_stored, mix, release, shuffle_partitions, slices, stored, table, text_bytes
 from tidewater.llm.components import connected_components
 
 WORDS, PERCENT = 4, 85
@@ -329,6 +329,7 @@ class Join:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df, path = stored(df, name)
         self.paths.append(path)
+        release(self.spark)
         return df
 
     def frequent(self) -> tuple[np.ndarray, np.ndarray]:
@@ -364,7 +365,8 @@ class Join:
         pairs = self.keep(pairs, f"{name}-candidates")
         wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(self.classes.select("cls", "doc_id"), "cls")
         texts = self.docs.join(wanted, self.docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "cls")
-        sets = self.keep(texts.mapInArrow(lambda x: _sets(x, words), "cls long, tokens binary").dropDuplicates(["cls"]), f"{name}-tokens")
+        # used twice below: one exchange by class, which both joins read
+        sets = texts.mapInArrow(lambda x: _sets(x, words), "cls long, tokens binary").dropDuplicates(["cls"])
         joined = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
         return self.keep(joined.mapInArrow(lambda x: _verified(x, percent), "a long, b long"), f"{name}-links")
 
