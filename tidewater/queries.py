@@ -252,7 +252,7 @@ def split_roundtrip(spark, sf_dir):
 
 
 @query("""with t as (select count(*) as n, 24 + max(strlen(c_name)) + max(strlen(c_mktsegment)) as row_bytes from customer), m as (select n, row_bytes, floor(floor((16384 - 720 - 720) / 80) * 80 / row_bytes)::bigint as most from t)
-select format('customer_{:03}.xpt', i + 1) as file, least(most, n - i * most)::bigint as n_rows, (720 + 720 + ceil(least(most, n - i * most) * row_bytes / 80.0) * 80)::bigint as bytes from m, range(0, 100000) r(i) where i * most < n""")
+select case when n <= most then 'customer.xpt' else format('customer_{:03}.xpt', i + 1) end as file, least(most, n - i * most)::bigint as n_rows, (720 + 720 + ceil(least(most, n - i * most) * row_bytes / 80.0) * 80)::bigint as bytes from m, range(0, 100000) r(i) where i * most < n""")
 def split_plan(spark, sf_dir):
     rows = [(os.path.basename(p), tables.inspect(p).members[0].rows, os.path.getsize(p)) for p in _split_files(spark, sf_dir)]
     return spark.createDataFrame(rows, "file string, n_rows long, bytes long")
