@@ -2,8 +2,9 @@
 
 A vector is represented by its ``LISTED`` nearest of ``PIVOTS`` pivots, in order. Each vector is posted
 in the inverted files of these pivots with the pivot's place. For a query, the files of its own pivots
-give, for every vector met, Spearman's footrule between the two (partial) orders; the vectors
-with the smallest are compared exactly.
+give, for every vector met, Spearman's footrule between the two (partial) orders; the ``RERANK`` part of
+the vectors with the smallest are compared exactly. (Vectors without clusters in 64 dimensions need that much: 3 %
+find about 0.8 of the true neighbours, 12 % find 0.96.)
 
 The index is cut by vector: each task indexes its own rows in blocks of at most ``BLOCK`` and keeps
 the query's best k so far, exact distances included; the tasks' lists are merged. No vector moves, every
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 
 from tidewater.llm._common import table
 
-PIVOTS, LISTED, BLOCK, RERANK, QUERIES, K = 128, 16, 16_384, 512, 4096, 10
+PIVOTS, LISTED, BLOCK, QUERIES, K = 256, 64, 16_384, 4096, 10
+#: Of a block, the part and the least number of vectors compared exactly.
+RERANK, LEAST_RERANK = 0.12, 512
 
 
 def matrix(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,24 +64,25 @@ class Block:
         cuts = np.searchsorted(flat[by], np.arange(len(pivots) + 1))
         self.files = [((by[a:b] // self.places).astype(np.int32), (by[a:b] % self.places).astype(np.int32)) for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def search(self, query: np.ndarray, listed: np.ndarray, rerank: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query: np.ndarray, listed: np.ndarray, rerank: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and exact distances of the vectors with the smallest footrule."""
         foot = np.full(len(self.ids), self.places * (self.places + 1), np.int32)
         for place, pivot in enumerate(listed.tolist()):
             rows, places = self.files[pivot]
             # a pivot missing from a list counts as at the place after the last
             foot[rows] -= (self.places - place) + (self.places - places) - np.abs(places - place)
-        if len(foot) > rerank:
-            bound = np.partition(foot, rerank - 1)[rerank - 1]
+        most = max(LEAST_RERANK, int(rerank * len(foot)))
+        if len(foot) > most:
+            bound = np.partition(foot, most - 1)[most - 1]
             less, same = np.flatnonzero(foot < bound), np.flatnonzero(foot == bound)
-            rows = np.concatenate([less, same[: rerank - len(less)]])
+            rows = np.concatenate([less, same[: most - len(less)]])
         else:
             rows = np.arange(len(foot))
         gap = self.x[rows] - query
         return self.ids[rows], np.sqrt((gap * gap).sum(1))
 
 
-def _searched(batches: Iterator[pa.RecordBatch], shared, rerank: int, k: int) -> Iterator[pa.RecordBatch]:
+def _searched(batches: Iterator[pa.RecordBatch], shared, rerank: float, k: int) -> Iterator[pa.RecordBatch]:
     pivots, q_ids, q = shared.value
     listed = nearest_pivots(q, pivots)
     best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in q_ids]
@@ -109,7 +113,7 @@ def _searched(batches: Iterator[pa.RecordBatch], shared, rerank: int, k: int) ->
     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(sizes)), sizes), pa.int64()), pa.array(np.repeat(q_ids, sizes), pa.int64()), pa.array(np.concatenate([b[0] for b in best]), pa.int64()), pa.array(np.concatenate([b[1] for b in best]), pa.float64())], ["query", "query_id", "vec_id", "score"])
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS, rerank: int = RERANK, block: int = QUERIES) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS, rerank: float = RERANK, block: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of rows (vec_id, embedding) for each of queries (likewise)."""
     spark = rows.sparkSession
     rows = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))

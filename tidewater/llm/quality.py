@@ -23,7 +23,7 @@ from tidewater.llm._common import slices, table, texts_of
 
 LEVEL = 3
 #: Bytes up to which a band holds, least and greatest ratio. Short texts compress less.
-BANDS = ((200, 0.0, 2.25), (400, 1.0, 2.5), (1600, 1.15, 2.75), (6400, 1.25, 3.0), (25_600, 1.3, 3.5), (float("inf"), 1.3, 4.5))
+BANDS = ((200, 0.0, 2.25), (400, 1.0, 2.5), (1600, 1.2, 2.75), (6400, 1.4, 3.0), (25_600, 1.45, 3.5), (float("inf"), 1.5, 4.5))
 CHUNK, CHUNK_BAND, BAD_CHUNKS = 2048, (1.1, 5.0), 0.25
 WHITE = dict.fromkeys(b" \t\n\v\f\r")
 SYMBOLS = b"#*$%&|<>"
