@@ -355,3 +355,8 @@ def test_pipeline(spark):
                 size, gone, _, _ = want[r["doc_id"]]
                 assert size - gone - 6 * 40 <= len(r["text"].encode()) <= size - gone
     assert corpus_pipeline.run(spark, SMALL).count() == counts[-1] and counts[1] <= counts[0]
+
+
+def test_urls_without_rules(spark):
+    got = url_rules.judge_urls(spark.createDataFrame([(1, "http://a/b"), (None, None)], "page_id long, url string"), url_rules.rules_frame(spark, []), default="block").collect()
+    assert sorted(map(tuple, got), key=repr) == [(1, "a", "/b", None, "block"), (None, "", "", None, "block")]

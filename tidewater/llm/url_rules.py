@@ -41,7 +41,11 @@ def canonical_key(host: Column) -> Column:
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    return spark.createDataFrame(rules, "host string, path string, verdict string")
+    if not rules:
+        return spark.createDataFrame([], "host string, path string, verdict string")
+    text = lambda x: F.lit(x).cast("string")
+    rows = [F.struct(text(host).alias("host"), text(path).alias("path"), text(verdict).alias("verdict")) for host, path, verdict in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def _ranked(host: Column):
