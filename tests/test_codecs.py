@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewater.functions import dates, ibm, text
-from tidewater.model import LEFT, RIGHT, Format, FormatError
+from tidewater.model import LEFT, RIGHT, Format, FormatError, TransportError
 
 VECTORS = {1.0: "4110000000000000", 100.0: "4264000000000000", 0.1: "401999999999999a", 123.456: "427b74bc6a7ef9dc", -3.14159: "c13243f3e0370cdc", 2.0**-257: "0" * 16, 2.0**-256: "0110000000000000", 2.0**252: "7f" + "f" * 14, -(2.0**252): "f" * 16, 0.0: "0" * 16, -0.0: "0" * 16, math.nan: "2e" + "0" * 14, math.inf: "2e" + "0" * 14}
 
@@ -87,6 +87,9 @@ def test_text(spark):
         text.decode_text(b"caf\xe9", text.STRICT, fail=True)
     assert text.decode_text(b"    ") is None and text.decode_text(b"ab ", keep_blanks=True) == "ab "
     assert text.decode_text("x\x1c".encode()) == "x\x1c"
+    assert text.encode_text("é") == b"\xc3\xa9" and text.encode_text("e", True) == b"e"
+    with pytest.raises(TransportError):
+        text.encode_text("é", True)
     assert text.fit_bytes("héllo".encode(), 2) == b"h\xc3" and text.cut_text("héllo", 2) == "h"
     words = ["héllo", "有害事象", "😀😀", "plain", "", "é" * 30]
     for most in (1, 2, 3, 4, 5, 7, 8, 40):

@@ -2,7 +2,7 @@ import pytest
 
 from tidewater.model import CatalogueError, MissingFileError, UnknownStandardError
 from tidewater.sources.sample_standard import write_sample
-from tidewater.sources.standards import conformance, load_standard
+from tidewater.sources.standards import conformance, load_standard, standard_path
 
 
 @pytest.mark.parametrize("kind", ["SDTM", "send", "ADaM"])
@@ -21,6 +21,10 @@ def test_conformance(spark, tmp_path):
     assert {tuple(r) for r in conformance(s, "LI", df).collect()} == {("RETFLAG", "Num", "Char", "type"), ("COMMENT", "Char", None, "missing")}
 
 
+def test_path():
+    assert standard_path("/x", "SDTM", "3.4") == "/x/sdtm/ig/v3.4"
+
+
 def test_errors(spark, tmp_path):
     with pytest.raises(MissingFileError):
         load_standard(spark, str(tmp_path))

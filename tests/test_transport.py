@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.model import V8, CorruptError, Format, MemberNotFoundError, Plan, SchemaError, UnsupportedVersionError, ValidationError, Variable, VariableMetadata
-from tidewater.operators import tables
+from tidewater.operators import bridge, tables
 from tidewater.plans import planner, rules, sizes
 from tidewater.sources import headers
 from tidewater.streaming import files
@@ -175,3 +175,13 @@ def test_stream(spark, tmp_path):
     q = files.read_stream(spark, str(folder), made.plan).writeStream.format("memory").queryName("streamed").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
     q.awaitTermination()
     assert spark.table("streamed").agg(F.count("*"), F.sum("A")).first()[:] == (20, 90.0)
+
+
+def test_bridge(spark):
+    df = spark.sql("select cast(1 as tinyint) as i, cast(0.5 as float) as f, cast('Ab' as binary) as b, date'1960-01-03' as d")
+    t = bridge.from_frame(df, "T")
+    assert [f.dataType.simpleString() for f in t] == ["bigint", "double", "binary", "date"] and bridge.to_frame(t).first()["b"] == "4162"
+    assert t.describe_column("i") == "i (Numeric)" and t.describe_column("b") == "b (Character)"
+    assert bridge.sas_numbers(df).first()["d"] == 2.0
+    with pytest.raises(SchemaError):
+        bridge.from_frame(spark.sql("select 1.5bd as x"), "T")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewater.model import TransportError
+
 STRICT, LOSSY, LATIN1 = "strict", "lossy", "latin1"
 # Characters with the Unicode property White_Space.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -26,6 +28,13 @@ def fit_bytes(raw: bytes, width: int) -> bytes:
     return raw[:width].ljust(width)
 
 
+def encode_text(text: str, ascii_only: bool = False) -> bytes:
+    """UTF-8; with ``ascii_only``, other characters are an error."""
+    if ascii_only and not text.isascii():
+        raise TransportError(f"non-ASCII text: {text!r}")
+    return text.encode()
+
+
 def cut_text(text: str, most: int) -> str:
     """At most ``most`` bytes, and no broken character."""
     return text.encode()[:most].decode("utf-8", "ignore")

@@ -66,6 +66,10 @@ class TransportTable:
         """Rows start to end (exclusive) of a table read with ``rowId``."""
         return TransportTable(self.df.where((F.col(by) >= start) & (F.col(by) < end)), self.name, self.label)
 
+    def describe_column(self, name: str) -> str:
+        """``AESEQ (Numeric)``."""
+        return f"{name} ({'Numeric' if isinstance(self.df.schema[name].dataType, NUMERIC) else 'Character'})"
+
     def describe(self) -> str:
         return f"{self.name} [{self.count()} rows × {len(self)} cols]"
 

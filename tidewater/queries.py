@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import dates, ibm, text
 from tidewater.model import Format, FormatError, VariableMetadata
-from tidewater.operators import tables
+from tidewater.operators import bridge, tables
 from tidewater.operators.scratch import scratch
 from tidewater.plans import planner, rules, sizes
 from tidewater.sources import sample_standard, standards
@@ -379,6 +379,17 @@ def short_numerics(spark, sf_dir):
     return tables.read(spark, _raw_file(spark, "short", _numeric_plan(2, 3), body)).df
 
 
+@query("""select p_partkey::bigint as p_partkey, lower(hex(encode(p_brand))) as brand, p_size::bigint as p_size, p_retailprice from part""")
+def frame_bridge(spark, sf_dir):
+    df = source(spark, sf_dir, "part").select("p_partkey", F.encode("p_brand", "UTF-8").alias("brand"), "p_size", "p_retailprice")
+    return bridge.to_frame(bridge.from_frame(df, "PART"))
+
+
+@query("""select event_id::double as event_id, date_diff('second', timestamp '1960-01-01', date_trunc('second', ts))::double as ts, user_id::double as user_id, value from events""")
+def numbers_as_stored(spark, sf_dir):
+    return bridge.sas_numbers(source(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value"))
+
+
 @query("select 'trailing' as rule, 4::bigint as n_rows union all select 'stop', 2")
 def blank_rows(spark, sf_dir):
     from tidewater.model import Plan, Variable

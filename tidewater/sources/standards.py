@@ -20,6 +20,11 @@ VARIABLES = {
 }
 
 
+def standard_path(base: str, kind: str, version: str) -> str:
+    """Where a guide's files are below ``base``: ``sdtm/ig/v3.4``."""
+    return os.path.join(base, kind.lower(), "ig", f"v{version}")
+
+
 @dataclass(frozen=True)
 class Standard:
     """A catalogue: its manifest, datasets (name, label, class, structure) and variables (dataset, name, label, type, order, role, notes, core)."""
