@@ -360,3 +360,55 @@ def test_pipeline(spark):
 def test_urls_without_rules(spark):
     got = url_rules.judge_urls(spark.createDataFrame([(1, "http://a/b"), (None, None)], "page_id long, url string"), url_rules.rules_frame(spark, []), default="block").collect()
     assert sorted(map(tuple, got), key=repr) == [(1, "a", "/b", None, "block"), (None, "", "", None, "block")]
+
+
+def test_groups_of_many_near_copies(spark, monkeypatch):
+    """Copies that are similar to some of the others only: lists with many pairs give a forest first."""
+    rng = random.Random(9)
+    base, rows = [f"w{i}" for i in range(170)], []
+    for k in range(160):
+        own = list(base)
+        for _ in range(rng.randint(1, 4)):
+            own[rng.randrange(170)] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+    kept = []
+    forest = jaccard_join._List.forest
+    monkeypatch.setattr(jaccard_join._List, "forest", lambda self: kept.append(1) or forest(self))
+    want = brute_groups(rows)[0]
+    got = {r[0]: tuple(r)[1:] for r in jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len({c for _, c in want.values()}) > 1
+
+
+def test_forest_joins_what_is_near():
+    rng = random.Random(4)
+    base, texts = [f"w{i}" for i in range(170)], []
+    for _ in range(60):
+        own = list(base)
+        for _ in range(rng.randint(0, 3)):
+            own[rng.randrange(170)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    import pyarrow as pa
+
+    sets = jaccard_join.Sets(pa.array(texts))
+    own = jaccard_join._List(sets.n, np.arange(60) // 2, sets.sketches().view(np.uint64), 85)
+    assert own.pairs(3) is None
+    every, some = own.pairs(None), own.forest()
+
+    def groups(pairs):
+        top = list(range(60))
+
+        def root(i):
+            while top[i] != i:
+                i = top[i]
+            return i
+
+        for i in range(0, 60, 2):
+            top[root(i)] = root(i + 1)
+        for x, y in zip(*pairs, strict=True):
+            for i, j in zip(np.broadcast_to(x, len(y)).tolist(), y.tolist(), strict=True):
+                top[root(i)] = root(j)
+        return [root(i) for i in range(60)]
+
+    a, b = groups(every), groups(some)
+    assert len(set(a)) == len(set(b)) and len(some[0]) <= 59
+    assert all((a[i] == a[j]) == (b[i] == b[j]) for i in range(60) for j in range(60))

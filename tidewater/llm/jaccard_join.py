@@ -13,11 +13,12 @@ Document frequencies count all documents, for the quarter of shingles with the l
 the prefixes, and a shingle's place in the order is its own affair, so any rule gives right results.
 At most ``FREQUENT`` of them, the most frequent, are known to every task.
 
-Within a posting list, sets are compared in two rounds. First each with the list's smallest (linear in
-the list). Then, in lists whose members are not yet in one component, all pairs across components, unless a
+Within a posting list, sets are compared in rounds. First each with the list's smallest (linear in
+the list). Then, in lists whose members are not yet in one component, pairs across components, unless a
 512-bit parity sketch proves them apart: the sketches of two sets differ in no more bits than the sets in
-shingles. Pairs are verified on whole sets. Skipped pairs lie within one component, so components are
-exact; ``all_links`` skips none and returns every pair of classes.
+shingles. A list with many such pairs gives a spanning forest of them, the likeliest links first, and all that are
+still across components after these have been verified. Pairs are verified on whole sets. Skipped pairs lie within one component, so
+components are exact; ``all_links`` skips none and returns every pair of classes.
 
 Cases: null or empty text, or one without words, has an empty set and is linked with nothing; fewer than four words are one
 shingle; repeated rows are each in the result; a null id is no smallest id; extra columns are ignored; an
@@ -256,30 +257,86 @@ def _apart(sa: np.ndarray, sb: np.ndarray, na: np.ndarray, nb: np.ndarray, perce
     return differ > total - 2 * need
 
 
-def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """All pairs of a list across components that the sketches don't prove apart."""
+class _List:
+    """One posting list: sets that share a token, with their components' labels and sketches."""
+
+    def __init__(self, n: np.ndarray, label: np.ndarray, sketch: np.ndarray, percent: int):
+        self.n, self.label, self.sketch, self.percent = n, label, sketch, percent
+
+    def near(self, i: int, other: np.ndarray) -> np.ndarray:
+        """Those of other that may be similar to i."""
+        fits = 100 * np.minimum(self.n[i], self.n[other]) >= self.percent * np.maximum(self.n[i], self.n[other])
+        other = other[fits]
+        return other[~_apart(self.sketch[i], self.sketch[other], self.n[i], self.n[other], self.percent)]
+
+    def pairs(self, most: int | None) -> tuple[list, list] | None:
+        """All pairs across labels that may be similar; None if there are more than ``most``."""
+        _, group, size = np.unique(self.label, return_inverse=True, return_counts=True)
+        done, a, b, total = np.zeros(len(self.n), bool), [], [], 0
+        for g in np.argsort(size, kind="stable")[:-1].tolist():  # the smaller ones against all that is left
+            mine = np.flatnonzero(group == g)
+            done[mine] = True
+            other = np.flatnonzero(~done)
+            for i in mine.tolist():
+                near = self.near(i, other)
+                total += len(near)
+                if most is not None and total > most:
+                    return None
+                a.append(np.full(len(near), i))
+                b.append(near)
+        return a, b
+
+    def forest(self) -> tuple[list, list]:
+        """A minimum spanning forest of these pairs by the sketches' differences; members of one component are joined already."""
+        size, far = len(self.n), 1 << 30
+        best, parent, open_ = np.full(size, far), np.full(size, -1), np.ones(size, bool)
+        a, b, v = [], [], 0
+        for _ in range(size):
+            if best[open_].min() < far:
+                v = int(np.where(open_, best, far).argmin())
+                if best[v] > 0 and self.label[v] != self.label[parent[v]]:
+                    a.append(np.array([v]))
+                    b.append(np.array([parent[v]]))
+            else:
+                v = int(open_.argmax())
+            open_[v] = False
+            rest = np.flatnonzero(open_)
+            if not len(rest):
+                break
+            gap = np.full(size, far)
+            near = self.near(v, rest)
+            gap[near] = 1 + np.bitwise_count(self.sketch[v] ^ self.sketch[near]).sum(-1).astype(np.int64)
+            gap[rest[self.label[rest] == self.label[v]]] = 0
+            less = gap < best
+            best[less], parent[less] = gap[less], v
+        return a, b
+
+
+def _across(batches: Iterator[pa.RecordBatch], percent: int, everything: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of each list across components that the sketches don't prove apart.
+
+    All of them if ``everything`` or if they are few for the list. Else a spanning forest, the likeliest first, and a row with the
+    token, for another round when these have been verified.
+    """
     for rows in _runs(batches, ["token", "n", "cls", "label", "sketch"]):
         token, n, cls, label = (rows[c].to_numpy() for c in ("token", "n", "cls", "label"))
         sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(token), -1)
         cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        a, b = [], []
+        a, b, again = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
         for x, y in zip(cuts, [*cuts[1:], len(token)], strict=True):
-            _, group, size = np.unique(label[x:y], return_inverse=True, return_counts=True)
-            if len(size) < 2:
+            if (label[x:y] == label[x]).all():
                 continue
-            done = np.zeros(y - x, bool)
-            for g in np.argsort(size, kind="stable")[:-1].tolist():  # the smaller ones against all that is left
-                mine = np.flatnonzero(group == g)
-                done[mine] = True
-                other = np.flatnonzero(~done)
-                for i in mine.tolist():
-                    near = other[(100 * np.minimum(n[x + i], n[x + other]) >= percent * np.maximum(n[x + i], n[x + other]))]
-                    near = near[~_apart(sketch[x + i], sketch[x + near], n[x + i], n[x + near], percent)]
-                    a.append(np.full(len(near), cls[x + i]))
-                    b.append(cls[x + near])
-        if a:
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            own = _List(n[x:y], label[x:y], sketch[x:y], percent)
+            found = own.pairs(None if everything else 2 * int(y - x))
+            if found is None:
+                found = own.forest()
+                again.append(token[x])
+            a += [cls[x + i] for i in found[0]]
+            b += [cls[x + i] for i in found[1]]
+        a, b, k = np.concatenate(a), np.concatenate(b), len(again)
+        one, two, empty = np.minimum(a, b), np.maximum(a, b), np.full(k, -1)
+        names = ["a", "b", "token"]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([one, empty])), pa.array(np.concatenate([two, empty])), pa.array(np.concatenate([np.zeros(len(a), np.int64), np.array(again, np.int64)]), pa.int64(), mask=np.concatenate([np.ones(len(a), bool), np.zeros(k, bool)]))], names)
 
 
 def _unproven(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -370,13 +427,13 @@ class Join:
         joined = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
         return self.keep(joined.mapInArrow(lambda x: _verified(x, percent), "a long, b long"), f"{name}-links")
 
-    def across(self, postings: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of the lists whose classes have several labels (cls, label; none: the class itself)."""
+    def across(self, postings: DataFrame, labels: DataFrame, everything: bool) -> DataFrame:
+        """(a, b, token) of the lists whose classes have several labels (cls, label; none: the class itself)."""
         percent = self.percent
         rows = postings.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         open_lists = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
         rows = rows.join(open_lists, "token", "left_semi").join(self.classes.select("cls", "sketch"), "cls")
-        return self.sorted_lists(rows.select("token", "n", "cls", "label", "sketch")).mapInArrow(lambda x: _across(x, percent), "a long, b long")
+        return self.sorted_lists(rows.select("token", "n", "cls", "label", "sketch")).mapInArrow(lambda x: _across(x, percent, everything), "a long, b long, token long")
 
     def done(self) -> None:
         for path in self.paths[1:]:
@@ -388,7 +445,7 @@ def all_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tu
     join = Join(docs, words, percent)
     postings = join.postings()
     none = join.spark.createDataFrame([], "cls long, label long")
-    return join.similar(join.across(postings, none), "jaccard-all"), join.rows
+    return join.similar(join.across(postings, none, True).select("a", "b"), "jaccard-all"), join.rows
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -399,8 +456,15 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     links = join.similar(stars, "jaccard-1")
     labels, path = connected_components(links)
     join.paths.append(path)
-    links = links.union(join.similar(join.across(postings, labels), "jaccard-2"))
-    labels, _ = connected_components(links)
+    found = join.keep(join.across(postings, labels, False), "jaccard-across")
+    links = links.union(join.similar(found.where("token is null").select("a", "b"), "jaccard-2"))
+    labels, path = connected_components(links)
+    again = found.where("token is not null").select("token").distinct()
+    if not again.isEmpty():
+        join.paths.append(path)
+        rest = join.across(postings.join(again, "token", "left_semi"), labels, True).select("a", "b")
+        links = links.union(join.similar(rest, "jaccard-3"))
+        labels, _ = connected_components(links)
     rows = join.rows.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = rows.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = rows.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
