@@ -185,3 +185,13 @@ def test_bridge(spark):
     assert bridge.sas_numbers(df).first()["d"] == 2.0
     with pytest.raises(SchemaError):
         bridge.from_frame(spark.sql("select 1.5bd as x"), "T")
+
+
+def test_fixed_width():
+    import pyarrow as pa
+
+    from tidewater.sources.transport import fixed_width
+
+    rows = fixed_width(pa.array(["skipped", "ab", None, "", "héllo", "longer text"]).slice(1), 4)
+    assert [bytes(r) for r in rows] == [b"ab  ", b"    ", b"    ", b"h\xc3\xa9l", b"long"]
+    assert fixed_width(pa.array([], pa.string()), 3).shape == (0, 3)

@@ -163,6 +163,18 @@ class Part(WriterCommitMessage):
     rows: int
 
 
+def fixed_width(column: pa.Array, width: int) -> np.ndarray:
+    """(rows, width) bytes of texts, cut or filled with blanks; null is blank."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    at = np.frombuffer(column.buffers()[1], np.int64, len(column) + column.offset + 1)[column.offset :]
+    data = column.buffers()[2]
+    out = np.full((len(column), width), 32, np.uint8)
+    if data is not None and data.size:
+        inside = np.arange(width) < np.diff(at)[:, None]
+        out[inside] = np.frombuffer(data, np.uint8)[(at[:-1, None] + np.arange(width))[inside]]
+    return out
+
+
 def encode_rows(batch: pa.RecordBatch, plan: Plan) -> np.ndarray:
     """(rows, row bytes) of a batch whose columns are in the table's order."""
     out = np.full((batch.num_rows, plan.row_bytes), 32, np.uint8)
@@ -184,8 +196,7 @@ def encode_rows(batch: pa.RecordBatch, plan: Plan) -> np.ndarray:
                 column = pc.utf8_slice_codeunits(column, 0, 19)
             elif pa.types.is_binary(column.type):
                 column = pa.array([None if b is None else b.decode("utf-8", "replace") for b in column.to_pylist()], pa.string())
-            fixed = [b[: v.length].ljust(v.length) for b in column.cast(pa.binary()).fill_null(b"").to_pylist()]
-            out[:, where] = np.frombuffer(b"".join(fixed), np.uint8).reshape(-1, v.length)
+            out[:, where] = fixed_width(column, v.length)
     return out
 
 
