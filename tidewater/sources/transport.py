@@ -165,6 +165,8 @@ class Part(WriterCommitMessage):
 
 def fixed_width(column: pa.Array, width: int) -> np.ndarray:
     """(rows, width) bytes of texts, cut or filled with blanks; null is blank."""
+    if not len(column):
+        return np.zeros((0, width), np.uint8)
     column = column.cast(pa.large_binary()).fill_null(b"")
     at = np.frombuffer(column.buffers()[1], np.int64, len(column) + column.offset + 1)[column.offset :]
     data = column.buffers()[2]
