@@ -86,6 +86,8 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column as one array, and where each row's begin (one more at the end)."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     column = column.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64, count=len(column) + column.offset + 1)[column.offset :]
     data = column.buffers()[2]
