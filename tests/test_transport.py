@@ -101,7 +101,7 @@ def test_odd_content(spark, tmp_path):
     blank = raw_file(tmp_path / "blank.xpt", text, b"".join(x.ljust(100) for x in (b"one", b"", b"three")))
     assert [r["C"] for r in tables.read(spark, blank).df.collect()] == ["one", None, "three"]
     assert tables.read(spark, blank, blankRows="stop").df.count() == 1
-    cut = raw_file(tmp_path / "cut.xpt", text, b"a".ljust(100) + b"b" * 150)
+    cut = raw_file(tmp_path / "cut.xpt", text, b"a".ljust(100) + b"b" * 130)
     assert tables.read(spark, cut).df.count() == 2
     with pytest.raises(Exception, match="incomplete"):
         tables.read(spark, cut, mode="FAILFAST").df.count()

@@ -17,7 +17,7 @@ from tidewater.plans.planner import NUMERIC, plan_table
 from tidewater.plans.rules import Agency, issue_frame, validate
 from tidewater.plans.sizes import GIB, file_size, part_path, rows_that_fit
 from tidewater.sources.headers import Catalogue
-from tidewater.sources.transport import inspect_file, local_path, register
+from tidewater.sources.transport import inspect_file, local_path, matching, register
 
 
 @dataclass(frozen=True)
@@ -75,12 +75,12 @@ class TransportTable:
 
 
 def read(spark: SparkSession, path: str, **options: object) -> TransportTable:
-    """The first member, or the one named by ``member``."""
+    """The first member, or the one named by ``member``; path may be a pattern for the parts of one table."""
     register(spark)
     reader = spark.read.format("transport").option("path", path)
     for k, v in options.items():
         reader = reader.option(k, str(v).lower() if isinstance(v, bool) else v)
-    catalogue = inspect_file(path)
+    catalogue = inspect_file(matching(path)[0])
     if not catalogue.members:
         raise CorruptError("no members")
     member = catalogue.find(str(options["member"])) if "member" in options else catalogue.members[0]

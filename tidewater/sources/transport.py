@@ -44,6 +44,11 @@ def local_path(path: str) -> str:
     return path.removeprefix("file://").replace("file:/", "/", 1) if path.startswith("file:") else path
 
 
+def matching(path: str) -> list[str]:
+    """The files that a pattern matches, in order; the path itself if none."""
+    return sorted(glob.glob(local_path(path))) or [local_path(path)]
+
+
 @contextmanager
 def _mapped(path: str):
     with open(path, "rb") as f:
@@ -131,7 +136,9 @@ class TransportReader(DataSourceReader):
             found += [Rows(path, m.start + a * m.plan.row_bytes, a, min(step, n - a)) for a in range(0, n, step)]
         return found
 
-    def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Rows | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark makes of no partition
+            return
         plan = self.members[self.files.index(partition.path)].plan
         names = self.schema.fieldNames()
         special, keep = _truth(self.options, "specialmissing"), _truth(self.options, "preserveblanks")
@@ -251,7 +258,7 @@ class TransportSource(DataSource):
         return "transport"
 
     def _members(self) -> tuple[list[str], list[Member]]:
-        files = sorted(glob.glob(local_path(self.options["path"]))) or [local_path(self.options["path"])]
+        files = matching(self.options["path"])
         found = []
         for path in files:
             catalogue = inspect_file(path, _truth(self.options, "bareformats"))
