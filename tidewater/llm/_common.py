@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -71,7 +73,14 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def trim() -> None:
+    """Give freed memory back to the system: a worker serves many stages, and two of them share an executor with a JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``most`` bytes of text, so that arrays stay small."""
     import pyarrow.compute as pc
 
@@ -82,6 +91,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[
     cuts = np.flatnonzero(np.diff(block)) + 1
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
         yield batch.slice(a, b - a)
+    trim()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm._common import drop_stored, mix, release, shuffle_partitions, slices, stored, table, text_bytes
+from tidewater.llm._common import drop_stored, mix, release, shuffle_partitions, slices, stored, table, text_bytes, trim
 from tidewater.llm.components import connected_components
 
 WORDS, PERCENT = 4, 85
@@ -358,12 +358,13 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = np.sort(np.concatenate([x, y]))
             common = int((both[1:] == both[:-1]).sum())
             keep.append(100 * common >= percent * (len(x) + len(y) - common))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        trim()
 
 
 class Join:

@@ -197,22 +197,23 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the spans in question."""
-    for batch in batches:
-        h1, part, k1, k2, at, raw = [], [], [], [], [], []
-        for own1, own2, text, asked in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "text", "asked")), strict=True):
-            whole = (text or "").encode()
-            for q in asked:
-                s, more = q["x"] >> 16, (q["x"] >> 8) & 255
-                h1.append(q["y"])
-                part.append(q["part"])
-                k1.append(own1)
-                k2.append(own2)
-                at.append(q["x"])
-                raw.append(whole[s : s + more + LENGTH])
-            if len(raw) >= 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(part, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(at, pa.int64()), pa.array(raw, pa.binary())], ["h1", "part", "k1", "k2", "at", "raw"])
-                h1, part, k1, k2, at, raw = [], [], [], [], [], []
-        yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(part, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(at, pa.int64()), pa.array(raw, pa.binary())], ["h1", "part", "k1", "k2", "at", "raw"])
+    for whole_batch in batches:
+        for batch in slices(whole_batch, "text"):
+            h1, part, k1, k2, at, raw = [], [], [], [], [], []
+            for own1, own2, text, asked in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "text", "asked")), strict=True):
+                whole = (text or "").encode()
+                for q in asked:
+                    s, more = q["x"] >> 16, (q["x"] >> 8) & 255
+                    h1.append(q["y"])
+                    part.append(q["part"])
+                    k1.append(own1)
+                    k2.append(own2)
+                    at.append(q["x"])
+                    raw.append(whole[s : s + more + LENGTH])
+                if len(raw) >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(part, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(at, pa.int64()), pa.array(raw, pa.binary())], ["h1", "part", "k1", "k2", "at", "raw"])
+                    h1, part, k1, k2, at, raw = [], [], [], [], [], []
+            yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(part, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(at, pa.int64()), pa.array(raw, pa.binary())], ["h1", "part", "k1", "k2", "at", "raw"])
 
 
 def _compared_windows(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -319,31 +320,33 @@ def kept_bytes(raw: bytes, ranges: list[dict]) -> tuple[bytes, int]:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        size, gone, runs, sha = [], [], [], []
-        for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-            raw = (text or "").encode()
-            left, n = kept_bytes(raw, ranges)
-            size.append(len(raw))
-            gone.append(len(raw) - len(left))
-            runs.append(n)
-            sha.append(hashlib.sha256(left).hexdigest())
-        ids = pa.array([None if k == FIRST else k for k in batch.column("k1").to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in (size, gone, runs)), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    for whole_batch in batches:
+        for batch in slices(whole_batch, "text"):
+            size, gone, runs, sha = [], [], [], []
+            for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+                raw = (text or "").encode()
+                left, n = kept_bytes(raw, ranges)
+                size.append(len(raw))
+                gone.append(len(raw) - len(left))
+                runs.append(n)
+                sha.append(hashlib.sha256(left).hexdigest())
+            ids = pa.array([None if k == FIRST else k for k in batch.column("k1").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in (size, gone, runs)), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, whole = [], []
-        for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-            whole.append(not ranges)
-            texts.append(text if not ranges else kept_bytes((text or "").encode(), ranges)[0].decode("utf-8", "ignore"))
-        names = [c for c in batch.schema.names if c not in ("k1", "k2", "ranges")]
-        out = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
-        if "n_chars" in out:
-            out["n_chars"] = pa.array([n if w else len(t) for n, w, t in zip(out["n_chars"].to_pylist(), whole, texts, strict=True)], out["n_chars"].type)
-        rows = pa.RecordBatch.from_arrays(list(out.values()), list(out))
-        yield rows.filter(pa.array([w or bool(t) for w, t in zip(whole, texts, strict=True)], pa.bool_()))
+    for whole_batch in batches:
+        for batch in slices(whole_batch, "text"):
+            texts, whole = [], []
+            for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+                whole.append(not ranges)
+                texts.append(text if not ranges else kept_bytes((text or "").encode(), ranges)[0].decode("utf-8", "ignore"))
+            names = [c for c in batch.schema.names if c not in ("k1", "k2", "ranges")]
+            out = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
+            if "n_chars" in out:
+                out["n_chars"] = pa.array([n if w else len(t) for n, w, t in zip(out["n_chars"].to_pylist(), whole, texts, strict=True)], out["n_chars"].type)
+            rows = pa.RecordBatch.from_arrays(list(out.values()), list(out))
+            yield rows.filter(pa.array([w or bool(t) for w, t in zip(whole, texts, strict=True)], pa.bool_()))
 
 
 def removal_report(docs: DataFrame) -> DataFrame:
