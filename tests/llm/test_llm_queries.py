@@ -412,3 +412,16 @@ def test_forest_joins_what_is_near():
     a, b = groups(every), groups(some)
     assert len(set(a)) == len(set(b)) and len(some[0]) <= 59
     assert all((a[i] == a[j]) == (b[i] == b[j]) for i in range(60) for j in range(60))
+
+
+def test_removal_of_repeated_rows(spark):
+    """Rows with equal id and text are one document, which is no repeat of itself; so are equal texts without an id."""
+    a, b = (" ".join(f"{w}{i * i % 97}" for i in range(40)) for w in ("alpha", "beta"))
+    rows = [(1, a), (1, a), (2, "first " + a), (None, b), (None, b), (None, b), (7, b + " end")]
+    want = sorted((str(i), len(t), gone) for (i, t), gone in zip(rows, [0, 0, len(a), 0, 0, 0, len(b)], strict=True))
+    for parts in (1, 7):  # in one slice, and met in the shuffle
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = suffix_dedup.removal_report(frame).collect()
+        assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in got) == want
+    left = [r["text"] for r in suffix_dedup.cut_repeats(frame).collect()]
+    assert left.count(a) == 2 and left.count(b) == 3

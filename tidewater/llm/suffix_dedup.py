@@ -122,8 +122,11 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if batch.num_rows == 1 and len(raw) > SLICE:
                 pieces = [(part := raw[a : a + SLICE + LENGTH - 1], np.array([0, len(part)]), a) for a in range(0, len(raw), SLICE)]
             order = np.lexsort((k2, k1))
+            opens = np.ones(len(order), bool)  # equal rows are one document: they share a rank
+            opens[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
             rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
+            rank[order] = np.cumsum(opens) - 1
+            order = order[opens]
             for part, begins, shift in pieces:
                 found = spans(part, begins)
                 if found is None:
@@ -132,9 +135,10 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s = first - begins[doc] + shift
                 place = rank[doc] << np.int64(40) | s
                 by = np.lexsort((place, h2, h1))
-                again = np.zeros(len(by), bool)
+                again, twice = np.zeros(len(by), bool), np.zeros(len(by), bool)
                 again[1:] = (h1[by][1:] == h1[by][:-1]) & (h2[by][1:] == h2[by][:-1])
-                keep, gone = by[~again], by[again]
+                twice[1:] = again[1:] & (place[by][1:] == place[by][:-1])  # the same span, of an equal row
+                keep, gone = by[~again], by[again & ~twice]
                 gone = gone[np.argsort(place[gone], kind="stable")]
                 x, y, own = merged(s[gone], s[gone] + (last - first)[gone] + LENGTH, rank[doc[gone]])
                 own = order[own]
@@ -167,7 +171,12 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(h1), bool)
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         new[0] = held is None or (h1[0], h2[0]) != held[:2]
-        again = ~new
+        # an equal row's span is the class's first one itself and no repeat of it
+        lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+        own = (k1 == k1[lead]) & (k2 == k2[lead]) & (at == at[lead])
+        if held is not None:
+            own = np.where(lead < 0, (k1 == held[2]) & (k2 == held[3]) & (at == held[4]), own)
+        again = ~new & ~own
         s = at[again] >> 16
         yield rows(k1[again], k2[again], False, s, s + ((at[again] >> 8) & 255) + LENGTH, np.zeros(again.sum(), np.int32))
         first = np.flatnonzero(new)
@@ -294,7 +303,8 @@ def repeats(docs: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
     texts = docs.select("k1", "k2", "text")
     scanned = texts.mapInArrow(_scanned, SPAN).repartition(n, "h1").sortWithinPartitions("h1", "h2", "k1", "k2", "at")
     found = scanned.mapInArrow(_classes, FOUND).groupBy("k1", "k2").agg(
-        F.collect_list(F.when(~F.col("ask"), F.struct("x", "y"))).alias("known"), F.collect_list(F.when(F.col("ask"), F.struct("x", "y", "part"))).alias("asked")
+        # a set: equal rows have the same ranges
+        F.collect_set(F.when(~F.col("ask"), F.struct("x", "y"))).alias("known"), F.collect_list(F.when(F.col("ask"), F.struct("x", "y", "part"))).alias("asked")
     )
     questions = docs.join(found.where(F.size("asked") > 0).select("k1", "k2", "asked"), ["k1", "k2"]).select("k1", "k2", "text", "asked").dropDuplicates(["k1", "k2"])
     fetched = questions.mapInArrow(_fetched, "h1 long, part int, k1 long, k2 long, at long, raw binary").repartition(n, "h1", "part").sortWithinPartitions("h1", "part", "k1", "k2", "at")
