@@ -2,6 +2,7 @@
 
 import base64
 import random
+import string
 import zlib
 
 import numpy as np
@@ -267,3 +268,20 @@ def test_slices_keep_rows():
     raw, at = text_bytes(parts[-1].column("text"))
     assert len(at) == parts[-1].num_rows + 1 and at[-1] == len(raw)
     assert zlib.crc32(text_bytes(batch.column("text").slice(2, 2))[0].tobytes()) == zlib.crc32(b"b" * 50)
+
+
+@pytest.mark.parametrize("size", [2500, 3500, 6000, 20_000])
+def test_half_noise_is_rejected(size):
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    prose = " ".join(rng.choice(words) for _ in range(9000))
+    noise = " ".join("".join(rng.choice(string.ascii_letters + string.digits) for _ in range(rng.randint(3, 10))) for _ in range(4000))
+    assert quality.measure(prose[:size], press)[-1]
+    for share in (0.5, 0.7):
+        cut = int(size * (1 - share))
+        assert not quality.measure(prose[:cut] + noise[: size - cut], press)[-1]
+    tail = prose[:4096] + noise[:2000]  # nothing but the partial chunk is noise
+    assert quality.ratios(tail.encode(), press)[1] == 1 / 3

@@ -24,7 +24,8 @@ from tidewater.llm._common import slices, table, texts_of
 LEVEL = 3
 #: Bytes up to which a band holds, least and greatest ratio. Short texts compress less.
 BANDS = ((200, 0.0, 2.25), (400, 1.0, 2.5), (1600, 1.2, 2.75), (6400, 1.4, 3.0), (25_600, 1.45, 3.5), (float("inf"), 1.5, 4.5))
-CHUNK, CHUNK_BAND, BAD_CHUNKS = 2048, (1.1, 5.0), 0.25
+#: Chunks of prose have ratios of 1.87 to 2.44 on sf0.01, chunks of random words of letters and digits 1.34 to 1.36.
+CHUNK, CHUNK_BAND, BAD_CHUNKS = 2048, (1.5, 5.0), 0.25
 WHITE = dict.fromkeys(b" \t\n\v\f\r")
 SYMBOLS = b"#*$%&|<>"
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, bad_chunk_share double, kept boolean"
@@ -52,11 +53,13 @@ def repeated_lines(raw: bytes) -> int:
 
 
 def ratios(raw: bytes, press: zstandard.ZstdCompressor) -> tuple[float, float]:
-    """Ratio of the whole, and the share of full chunks outside the chunks' band."""
+    """Ratio of the whole, and the share of chunks outside the chunks' band; what is left at the end is judged in the last ``CHUNK`` bytes."""
     if not raw:
         return 0.0, 0.0
     whole = len(raw) / len(press.compress(raw))
-    chunks = [raw[i : i + CHUNK] for i in range(0, len(raw) - CHUNK + 1, CHUNK)] if len(raw) >= 2 * CHUNK else []
+    chunks = [raw[i : i + CHUNK] for i in range(0, len(raw) - CHUNK + 1, CHUNK)]
+    if len(raw) > CHUNK and len(raw) % CHUNK:
+        chunks.append(raw[-CHUNK:])
     bad = sum(not CHUNK_BAND[0] <= len(c) / len(press.compress(c)) <= CHUNK_BAND[1] for c in chunks)
     return whole, bad / len(chunks) if chunks else 0.0
 
