@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import public_tokenizers
-from tidewater.llm import bpe, context_mixing, jaccard_join, langid, packing, quality, suffix_dedup, token_counts
+from tidewater.llm import ann, bpe, context_mixing, jaccard_join, langid, packing, quality, suffix_dedup, token_counts
 from tidewater.llm._common import slices, text_bytes
 
 PATH = public_tokenizers.path
@@ -285,3 +285,33 @@ def test_half_noise_is_rejected(size):
         assert not quality.measure(prose[:cut] + noise[: size - cut], press)[-1]
     tail = prose[:4096] + noise[:2000]  # nothing but the partial chunk is noise
     assert quality.ratios(tail.encode(), press)[1] == 1 / 3
+
+
+def test_copies_take_one_place_of_the_rerank():
+    """A third of a full block are copies of one vector: its nearest distinct vectors are found all the same."""
+    rng = np.random.default_rng(5)
+    n, third = ann.BLOCK, ann.BLOCK // 3
+    x = rng.normal(size=(n, 64)) * np.linspace(1.5, 0.5, 64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[:third] = x[0]
+    ids = rng.permutation(n)
+    pivots = x[third : third + ann.PIVOTS]
+    block = ann.Block(ids, x, pivots, 10)
+    near = third + np.argsort(((x[third:] - x[0]) ** 2).sum(1))[:40]
+    hits = []
+    for j in near.tolist():
+        true = np.sqrt(((x - x[j]) ** 2).sum(1))
+        got, gaps = block.search(x[j], ann.nearest_pivots(x[j : j + 1], pivots)[0], ann.RERANK)
+        first, want = np.lexsort((got, gaps))[:11], np.lexsort((ids, true))[:11]
+        hits.append(len(set(got[first].tolist()) & set(ids[want].tolist())) / 11)
+    assert np.mean(hits) >= 0.95 and min(hits) >= 0.6, (np.mean(hits), min(hits))
+
+
+def test_copies_of_a_vector_count_each():
+    """What is kept of a group of copies holds its k smallest rows, whichever id is left out."""
+    ids = np.array([3] * 30 + [4] * 12 + list(range(5, 40)))
+    block = ann.Block(ids, np.ones((len(ids), 4)), np.ones((1, 4)), 10)
+    got, gaps = block.search(np.ones(4), np.zeros(1, np.int64), ann.RERANK)
+    assert not gaps.any()
+    for own in (3, 4, 99):
+        assert sorted(got[got != own].tolist())[:10] == sorted(ids[ids != own].tolist())[:10]

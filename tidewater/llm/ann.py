@@ -8,7 +8,7 @@ find about 0.8 of the true neighbours, 12 % find 0.96.)
 
 The index is cut by vector: each task indexes its own rows in blocks of at most ``BLOCK`` and keeps
 the query's best k so far, exact distances included; the tasks' lists are merged. No vector moves, every
-row is indexed, and a group of equal vectors, however large, spreads over tasks. Queries come in
+row is indexed, and a group of equal vectors, however large, spreads over tasks and is one entry of each block. Queries come in
 blocks of about ``QUERIES`` rows, which bounds what is broadcast. The pivots are a bounded sample: ``PIVOTS`` rows.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
@@ -52,11 +52,18 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Inverted files of one block of vectors."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray):
-        order = np.argsort(ids, kind="stable")  # so that ties in footrule keep the smaller ids
-        self.ids, self.x = ids[order], x[order]
+    """Inverted files of one block of vectors; equal ones are one entry with its smallest ids."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, k: int):
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], np.ascontiguousarray(x[order] + 0.0)  # no -0.0: equal vectors have equal bytes
+        self.rows = len(ids)
+        _, first, entry = np.unique(x.view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
+        self.x = x[first]
+        # k rows of an id and 2 k of an entry hold the entry's first k rows whatever id is left out
+        ids, entry = self._least(*self._least(ids, entry, k, True), 2 * k, False)
+        self.ids, self.count = ids, np.bincount(entry, minlength=len(first))
+        self.begin = np.cumsum(self.count) - self.count
         listed = nearest_pivots(self.x, pivots)
         self.places = listed.shape[1]
         flat = listed.ravel()
@@ -64,22 +71,34 @@ class Block:
         cuts = np.searchsorted(flat[by], np.arange(len(pivots) + 1))
         self.files = [((by[a:b] // self.places).astype(np.int32), (by[a:b] % self.places).astype(np.int32)) for a, b in zip(cuts, cuts[1:], strict=False)]
 
+    @staticmethod
+    def _least(ids: np.ndarray, entry: np.ndarray, most: int, by_id: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The first rows of each entry, or of each id of an entry, in order of entry and id."""
+        by = np.lexsort((ids, entry))
+        ids, entry = ids[by], entry[by]
+        opens = np.ones(len(ids), bool)
+        opens[1:] = (entry[1:] != entry[:-1]) | (by_id & (ids[1:] != ids[:-1]))
+        at = np.arange(len(ids))
+        keep = at - np.maximum.accumulate(np.where(opens, at, 0)) < most
+        return ids[keep], entry[keep]
+
     def search(self, query: np.ndarray, listed: np.ndarray, rerank: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and exact distances of the vectors with the smallest footrule."""
-        foot = np.full(len(self.ids), self.places * (self.places + 1), np.int32)
+        """Ids and exact distances of the distinct vectors with the smallest footrule, all that tie at the bound included."""
+        foot = np.full(len(self.x), self.places * (self.places + 1), np.int32)
         for place, pivot in enumerate(listed.tolist()):
             rows, places = self.files[pivot]
             # a pivot missing from a list counts as at the place after the last
             foot[rows] -= (self.places - place) + (self.places - places) - np.abs(places - place)
-        most = max(LEAST_RERANK, int(rerank * len(foot)))
+        most = max(LEAST_RERANK, int(rerank * self.rows))
         if len(foot) > most:
             bound = np.partition(foot, most - 1)[most - 1]
-            less, same = np.flatnonzero(foot < bound), np.flatnonzero(foot == bound)
-            rows = np.concatenate([less, same[: most - len(less)]])
+            rows = np.flatnonzero(foot <= bound)
         else:
             rows = np.arange(len(foot))
         gap = self.x[rows] - query
-        return self.ids[rows], np.sqrt((gap * gap).sum(1))
+        gaps, n = np.sqrt((gap * gap).sum(1)), self.count[rows]
+        at = np.arange(n.sum()) + np.repeat(self.begin[rows] - (np.cumsum(n) - n), n)
+        return self.ids[at], np.repeat(gaps, n)
 
 
 def _searched(batches: Iterator[pa.RecordBatch], shared, rerank: float, k: int) -> Iterator[pa.RecordBatch]:
@@ -88,7 +107,7 @@ def _searched(batches: Iterator[pa.RecordBatch], shared, rerank: float, k: int)
     best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in q_ids]
 
     def search(parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        block = Block(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), pivots)
+        block = Block(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), pivots, k)
         for j in range(len(q_ids)):
             ids, gaps = block.search(q[j], listed[j], rerank)
             other = ids != q_ids[j]
