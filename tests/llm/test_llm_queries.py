@@ -425,3 +425,13 @@ def test_removal_of_repeated_rows(spark):
         assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in got) == want
     left = [r["text"] for r in suffix_dedup.cut_repeats(frame).collect()]
     assert left.count(a) == 2 and left.count(b) == 3
+
+
+def test_one_of_each_group_whatever_its_ids(spark):
+    """Rows without an id are decided like others, and an id with two texts by each of them."""
+    a, b, c, d = (" ".join(f"{w}{i * i % 97}" for i in range(60)) for w in ("alpha", "beta", "gamma", "delta"))
+    rows = [(1, a), (None, a), (None, a + " more"), (None, b), (None, b), (None, b + " more"), (2, c), (2, d), (3, d + " more"), (4, d), (5, c + " more"), (2, c), (1, d), (None, ""), (None, "")]
+    got = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 80).collect()
+    texts = collections.Counter((r["text"] or "?").split("0")[0] for r in got)
+    assert texts == {"alpha": 1, "beta": 1, "gamma": 1, "delta": 1, "?": 2}
+    assert {r["text"].split("0")[0]: r["doc_id"] for r in got if r["text"]} == {"alpha": 1, "beta": None, "gamma": 2, "delta": 1}

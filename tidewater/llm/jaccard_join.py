@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidewater.llm._common import drop_stored, mix, release, shuffle_partitions, slices, stored, table, text_bytes, trim
 from tidewater.llm.components import connected_components
@@ -339,6 +340,14 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int, everything: bool) -
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([one, empty])), pa.array(np.concatenate([two, empty])), pa.array(np.concatenate([np.zeros(len(a), np.int64), np.array(again, np.int64)]), pa.int64(), mask=np.concatenate([np.ones(len(a), bool), np.zeros(k, bool)]))], names)
 
 
+def _with_classes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """All columns, and the number of shingles and the class of the text."""
+    for whole in batches:
+        for batch in slices(whole, "text", SLICE):
+            sets = Sets(batch.column("text"), words)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sets.n, pa.int64()), pa.array(sets.cls)], [*batch.schema.names, "_n", "_cls"])
+
+
 def _unproven(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, SKETCH // 64) for c in ("sa", "sb"))
@@ -449,8 +458,8 @@ def all_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tu
     return join.similar(join.across(postings, none, True).select("a", "b"), "jaccard-all"), join.rows
 
 
-def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row."""
+def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, Join]:
+    """(doc_id, n, cls, label) of each row: its class and what names the component."""
     join = Join(docs, words, percent)
     postings = join.postings()
     stars = join.sorted_lists(postings).mapInArrow(lambda x: _stars(x, percent), "a long, b long")
@@ -466,7 +475,12 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
         rest = join.across(postings.join(again, "token", "left_semi"), labels, True).select("a", "b")
         links = links.union(join.similar(rest, "jaccard-3"))
         labels, _ = connected_components(links)
-    rows = join.rows.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    return join.rows.join(labels, "cls", "left").select("doc_id", "n", "cls", F.coalesce("label", "cls").alias("label")), join
+
+
+def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row."""
+    rows, join = labelled(docs, words, percent)
     least = rows.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = rows.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     join.done()
@@ -474,16 +488,29 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each group of similar ones, the one with the smallest id.
+    """docs with one document of each group of similar ones, the one with the smallest id, or one without an id where no other is.
 
-    Documents without a word and rows without an id stay; of rows with equal id and text one stays.
+    Documents without a word stay; of rows with equal id and text one stays, of equal texts without an id too, if they have words.
     """
-    groups, _ = stored(components(docs, words, percent), "jaccard-groups")
-    kept = groups.where((F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0)).select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    if not groups.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out.union(docs.where("doc_id is null"))
+    rows, join = labelled(docs, words, percent)
+    groups, _ = stored(rows, "jaccard-groups")
+    join.done()
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls")).alias("best")
+    chosen = groups.where("n > 0").groupBy("label").agg(best).select("best.doc_id", "best.cls")
+    kept = chosen.select("doc_id").union(groups.where("n = 0").select("doc_id")).where("doc_id is not null").distinct()
+    # ids that name one row decide by themselves; the other rows' classes are looked at
+    several = groups.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id")
+    if groups.where("doc_id is null").isEmpty() and several.isEmpty():
+        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    out = docs.join(kept.join(several, "doc_id", "left_anti"), "doc_id", "left_semi").select(*docs.columns)
+    unsure = docs.join(several, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
+    schema = StructType([*unsure.schema.fields, StructField("_n", LongType()), StructField("_cls", LongType())])
+    unsure = unsure.mapInArrow(lambda b: _with_classes(b, words), schema)
+    wordless = unsure.where("_n = 0")
+    wordless = wordless.where("doc_id is null").union(wordless.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("cls").alias("_own"))
+    found = unsure.where("_n > 0").join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_cls") == F.col("_own")), "left_semi").dropDuplicates(["doc_id", "_cls"])
+    return out.union(wordless.select(*docs.columns)).union(found.select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
