@@ -195,3 +195,127 @@ def test_fixed_width():
     rows = fixed_width(pa.array(["skipped", "ab", None, "", "héllo", "longer text"]).slice(1), 4)
     assert [bytes(r) for r in rows] == [b"ab  ", b"    ", b"    ", b"h\xc3\xa9l", b"long"]
     assert fixed_width(pa.array([], pa.string()), 3).shape == (0, 3)
+
+
+@pytest.fixture(params=["true", "false"])
+def many_partitions(spark, request):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.enabled", request.param)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("kind", ["ordered", "grouped", "dealt"])
+def test_split_writes_lose_nothing(spark, tmp_path, many_partitions, kind):
+    """Rows of shuffled inputs come back once each, whatever the partitions are when the input is computed."""
+    n = 300_000
+    wide = [F.col("A"), F.format_string("%012d", F.col("A").cast("long")).alias("B"), *[(F.col("A") * k).alias(f"N{k}") for k in range(8)], F.lit("x" * 40).alias("C")]
+    base = spark.range(0, n, 1, 9).select(F.col("id").cast("double").alias("A")).select(*wide)
+    if kind == "grouped":
+        base = base.groupBy("A").agg(*[F.first(c).alias(c) for c in base.columns[1:]])
+    elif kind == "dealt":
+        base = base.repartition(33)
+    made = tables.writer(tables.TransportTable(base, "A", "l"), created=WHEN, order_by=["A"] if kind == "ordered" else []).max_file_size_gb(2_000_000 / sizes.GIB).finalize()
+    paths = made.write_path(str(tmp_path / "a.xpt"))
+    assert len(paths) > 10 and all(os.path.getsize(p) <= 2_000_000 for p in paths) and sorted(os.listdir(tmp_path)) == sorted(os.path.basename(p) for p in paths)
+    got = tables.read(spark, str(tmp_path / "a_*.xpt")).df
+    assert got.agg(F.count("*"), F.countDistinct("A"), F.min("A"), F.max("A"), F.sum(F.when(F.col("B").cast("double") == F.col("A"), 1)), F.sum(F.when(F.col("N7") == 7 * F.col("A"), 1))).first() == (n, n, 0.0, n - 1.0, n, n)
+    if kind == "ordered":
+        first = 0
+        for p in paths:
+            rows = [r["A"] for r in tables.read(spark, p, columns="A").df.collect()]
+            assert rows == list(range(first, first + len(rows)))
+            first += len(rows)
+        assert first == n
+
+
+def test_headers_alone_are_read(spark, tmp_path, monkeypatch):
+    """The driver's share of a large file is its headers and its end, however many rows there are."""
+    from tidewater.sources import storage, transport
+
+    paths = [save(spark.range(n).select(F.col("id").cast("double").alias("A")), tmp_path / f"{n}.xpt", "A")[0] for n in (1000, 40_000)]
+    monkeypatch.setattr(tables, "SEARCH", 4000)
+    monkeypatch.setattr(transport, "SEARCH", 4000)
+    seen, plain = [], storage.open_input
+
+    class Counting:
+        def __init__(self, f):
+            self.f = f
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+        def seek(self, at):
+            return self.f.seek(at)
+
+        def read(self, *n):
+            got = self.f.read(*n)
+            seen[-1] += len(got)
+            return got
+
+    places = [tables.find_members(spark, [p]) for p in paths]
+    monkeypatch.setattr(storage, "open_input", lambda p: Counting(plain(p)))
+    for p, found in zip(paths, places, strict=True):
+        seen.append(0)
+        assert transport.inspect_file(p, places=found[p]).members[0].rows in (1000, 40_000)
+    assert seen[0] == seen[1] < 2500
+    monkeypatch.undo()
+    monkeypatch.setattr(tables, "SEARCH", 4000)
+    blank = raw_file(tmp_path / "blank.xpt", Plan("T", None, (Variable("C", False, 100),)).laid_out(), b"".join(x.ljust(100) for x in [b"one"] * 70 + [b""] + [b"three"] * 30))
+    assert tables.read(spark, blank, blankRows="stop").df.count() == 70 and tables.read(spark, blank).df.count() == 101
+    one = open(paths[0], "rb").read()
+    (tmp_path / "two.xpt").write_bytes(one + open(paths[1], "rb").read()[240:])
+    both = str(tmp_path / "two.xpt")
+    assert [m.rows for m in tables.inspect(both).members] == [1000, 40_000]
+    assert tables.read(spark, both, member="A").df.count() == 1000
+
+
+def test_members_on_chunk_borders():
+    raw = b"".join([b"x" * 80 * 3, headers.MEMBER, b"y" * 85, headers.MEMBER, b"z" * 75, headers.MEMBER])
+    want = [240, 240 + 80 + 85 + 80 + 75]
+    for step in (1, 7, 80, 81, 1000):
+        assert list(headers.member_places((raw[i : i + step] for i in range(0, len(raw), step)), 0)) == want
+    assert list(headers.member_places([raw[80:]], 80)) == want
+
+
+def test_pushed_filters(spark, tmp_path):
+    df = spark.createDataFrame([(float(i), f"s{i % 5}" if i % 7 else None) for i in range(300)], "A double, B string")
+    path = save(df.coalesce(1), tmp_path / "f.xpt", "F")[0]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        read = lambda **o: tables.read(spark, path, rowId=True, **o).df
+        for where in ("A > 100 and B = 's3'", "A <= 7.5", "B is null", "B in ('s1', 's2') and A >= 50", "A < 10 and B is not null", "_row_id > 290", "A = 5 or B = 's1'"):
+            assert sorted(map(repr, read(pushFilters=True).where(where).collect())) == sorted(map(repr, read().where(where).collect()))
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+
+
+def test_zoned_timestamps_are_local(spark, tmp_path):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("select timestamp'2024-01-15 00:00:01' as TS, timestamp'2024-07-15 12:00:00' as TT")
+        made = save(df, tmp_path / "z.xpt", "Z", variables=[VariableMetadata("TT", numeric=False)])[0]
+        stored = tables.read(spark, made).df.first()
+        numbers = bridge.sas_numbers(df).first()
+        assert stored["TS"] == numbers["TS"] == (dt.datetime(2024, 1, 15, 0, 0, 1) - dt.datetime(1960, 1, 1)).total_seconds() and stored["TT"] == "2024-07-15T12:00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_stream_of_libraries(spark, tmp_path):
+    """All members of a file are read; one with other variables has to be left out by name."""
+    one = open(save(spark.createDataFrame([(1.0,)], "A double"), tmp_path / "a.xpt", "AA")[0], "rb").read()
+    two = open(save(spark.createDataFrame([(2.0,), (3.0,)], "A double"), tmp_path / "b.xpt", "BB")[0], "rb").read()
+    folder = tmp_path / "feed"
+    folder.mkdir()
+    (folder / "both.xpt").write_bytes(one + two[240:])
+    plan = tables.inspect(str(folder / "both.xpt")).members[0].plan
+    for member, want in ((None, [1.0, 2.0, 3.0]), ("bb", [2.0, 3.0])):
+        name = f"feed_{member}"
+        files.read_stream(spark, str(folder), plan, member).writeStream.format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+        assert sorted(r["A"] for r in spark.table(name).collect()) == want

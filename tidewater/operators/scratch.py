@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-from tidewater.sources.transport import local_path
+from tidewater.sources.storage import local_path
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -3,21 +3,29 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import os
 import pickle
-import tempfile
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.dates import header_stamp
 from tidewater.model import V5, ColumnLengthError, CorruptError, Issue, MemberNotFoundError, Plan, SchemaError, UnsupportedVersionError, ValidationError, VariableMetadata, Version, errors, warnings
+from tidewater.operators.scratch import scratch
 from tidewater.plans.planner import NUMERIC, plan_table
 from tidewater.plans.rules import Agency, issue_frame, validate
-from tidewater.plans.sizes import GIB, file_size, part_path, rows_that_fit
-from tidewater.sources.headers import Catalogue
-from tidewater.sources.transport import inspect_file, local_path, matching, register
+from tidewater.plans.sizes import GIB, RECORD, file_size, part_path, rows_that_fit
+from tidewater.sources import storage
+from tidewater.sources.headers import Catalogue, Member, member_places
+from tidewater.sources.transport import SEARCH, Part, assemble, blank_row, cut, inspect_file, register, staged_parts
+
+TASKS = 10_000
+SMALL = 64 << 20  # bytes of rows that the driver puts together itself, where there is one file
 
 
 @dataclass(frozen=True)
@@ -74,27 +82,77 @@ class TransportTable:
         return f"{self.name} [{self.count()} rows × {len(self)} cols]"
 
 
+def _in_ranges(spark: SparkSession, ranges: list[tuple[int, int, int]], f: Callable[[int, int, int], Iterable[int]]) -> list[tuple[int, int]]:
+    """(file, place) of all that ``f`` finds in ranges (file, first, end), one task for each."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [(ranges[i][0], place) for i in batch.column(0).to_pylist() for place in f(*ranges[i])]
+            yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], pa.int64()) for k in (0, 1)], ["file", "place"])
+
+    rows = spark.range(0, len(ranges), 1, min(len(ranges), TASKS)).mapInArrow(found, "file long, place long")
+    return sorted((r[0], r[1]) for r in rows.collect())
+
+
+def find_members(spark: SparkSession, files: list[str]) -> dict[str, list[int]]:
+    """Where members start in the files over ``SEARCH`` bytes, which tasks search in ranges of that size."""
+    big = [(f, n) for f in files if (n := storage.size(f)) > SEARCH]
+    if not big:
+        return {}
+    step = SEARCH // RECORD * RECORD
+    ranges = [(i, a, min(n, a + step)) for i, (_, n) in enumerate(big) for a in range(0, n, step)]
+    hits = _in_ranges(spark, ranges, lambda i, a, b: member_places(storage.chunks(big[i][0], a, b), a))
+    places: dict[str, list[int]] = {f: [] for f, _ in big}
+    for i, place in hits:
+        places[big[i][0]].append(place)
+    return places
+
+
+def _blank_rows(spark: SparkSession, files: list[str], members: list[Member]) -> dict[str, int]:
+    """The first blank row of each file's member, or its number of rows, found by tasks."""
+    step = max(1, SEARCH // max(1, max(m.plan.row_bytes for m in members)))
+    ranges = [(i, a, min(m.rows, a + step)) for i, m in enumerate(members) for a in range(0, m.rows, step)]
+    if not ranges:
+        return dict.fromkeys(files, 0)
+    hits = _in_ranges(spark, ranges, lambda i, a, b: [x for x in [blank_row(files[i], members[i], a, b)] if x < b])
+    return {f: next((x for k, x in hits if k == i), m.rows) for i, (f, m) in enumerate(zip(files, members, strict=True))}
+
+
 def read(spark: SparkSession, path: str, **options: object) -> TransportTable:
-    """The first member, or the one named by ``member``; path may be a pattern for the parts of one table."""
+    """The first member, or the one named by ``member``; path may be a pattern for the parts of one table.
+
+    The driver reads headers only; what needs a look at the rows (further members of large files, blank rows that end a table) is left to tasks.
+    """
     register(spark)
-    reader = spark.read.format("transport").option("path", path)
-    for k, v in options.items():
-        reader = reader.option(k, str(v).lower() if isinstance(v, bool) else v)
-    catalogue = inspect_file(matching(path)[0])
-    if not catalogue.members:
-        raise CorruptError("no members")
-    member = catalogue.find(str(options["member"])) if "member" in options else catalogue.members[0]
-    if member is None:
-        raise MemberNotFoundError(f"member not found: {options['member']}")
-    return TransportTable(reader.load(), member.plan.name, member.plan.label)
+    options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()}
+    files = storage.matching(path)
+    places = find_members(spark, files)
+    bare = options.get("bareFormats") == "true"
+    stop = options.get("blankRows") == "stop"
+    members = []
+    for file in files if stop else files[:1]:
+        catalogue = inspect_file(file, bare, places.get(file))
+        if not catalogue.members:
+            raise CorruptError("no members")
+        members.append(catalogue.find(str(options["member"])) if "member" in options else catalogue.members[0])
+        if members[-1] is None:
+            raise MemberNotFoundError(f"member not found: {options['member']}")
+    if places:
+        options["places"] = json.dumps(places)
+    if stop:
+        options["stops"] = json.dumps(_blank_rows(spark, files, members))
+    reader = spark.read.format("transport").options(**options)
+    return TransportTable(reader.load(path), members[0].plan.name, members[0].plan.label)
 
 
 def read_all(spark: SparkSession, path: str, **options: object) -> list[TransportTable]:
-    return [read(spark, path, **{**options, "member": name}) for name in inspect_file(path).names()]
+    return [read(spark, path, **{**options, "member": name}) for name in inspect(path).names()]
 
 
 def inspect(path: str) -> Catalogue:
-    return inspect_file(path)
+    """Members and layouts; tasks search large files for members where there is a session."""
+    spark = SparkSession.getActiveSession()
+    return inspect_file(path, places=find_members(spark, [path]).get(path) if spark else None)
 
 
 def member_frame(spark: SparkSession, catalogue: Catalogue) -> DataFrame:
@@ -123,57 +181,66 @@ class ValidatedWrite:
     def issue_frame(self) -> DataFrame:
         return issue_frame(self.table.df.sparkSession, self.issues)
 
-    def _save(self, df: DataFrame, path: str) -> str:
-        register(df.sparkSession)
-        df.write.format("transport").mode("overwrite").option("path", path).option("plan", pickle.dumps(self.plan).hex()).option("created", self.created).option("modified", self.modified).save()
-        return path
+    def _parts(self, path: str) -> tuple[str, list[Part]]:
+        """Encode the table's rows, once, to part files beside ``path``: their folder, and what is in it."""
+        spark = self.table.df.sparkSession
+        register(spark)
+        staging, seen = f"{path}.{uuid.uuid4().hex}.parts", Observation()
+        df = self.table.df.orderBy(*self.order_by) if self.order_by else self.table.df
+        rows = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("transport").mode("overwrite")
+        rows.options(path=path, staging=staging, plan=pickle.dumps(self.plan).hex(), created=self.created, modified=self.modified, zone=spark.conf.get("spark.sql.session.timeZone")).save()
+        parts = staged_parts(staging)
+        if sum(p.rows for p in parts) != seen.get["rows"]:
+            storage.remove_folder(staging)
+            raise CorruptError(f"{seen.get['rows']} rows came, {sum(p.rows for p in parts)} were encoded")
+        return staging, parts
 
     def write_path(self, path: str) -> list[str]:
         """One file, or ``_001``, ``_002`` and so on, each within the size limit.
 
-        Rows go in the order of ``order_by`` if given, else in that of the DataFrame's partitions.
+        Rows go in the order of ``order_by`` if given, else in that of the DataFrame's partitions. They are computed and encoded once; the encoded parts are
+        then cut between rows, whatever the partitions were, and every file is put together by a task of its own.
         """
-        df = self.table.df
-        if self.order_by:
-            df = df.orderBy(*self.order_by)
-        if self.max_bytes is None:
-            return [self._save(df, path)]
-        most = rows_that_fit(self.plan, self.max_bytes)
-        rows = df.count()
-        if file_size(self.plan, rows) <= self.max_bytes:
-            return [self._save(df, path)]
-        if not most:
-            raise SchemaError("not even one row fits the size limit")
-        # numbered without a shuffle: rows of earlier partitions, and those before in the same one
-        numbered = _numbered(df)
-        paths = []
-        for k in range(-(-rows // most)):
-            part = numbered.where((F.col("_row") >= k * most) & (F.col("_row") < (k + 1) * most)).drop("_row")
-            paths.append(self._save(part, part_path(path, k + 1)))
-        return paths
+        most = 2**62 if self.max_bytes is None else rows_that_fit(self.plan, self.max_bytes)
+        staging, parts = self._parts(path)
+        try:
+            rows = sum(p.rows for p in parts)
+            if self.max_bytes is None or file_size(self.plan, rows) <= self.max_bytes:
+                most = max(1, rows)
+            if not most:
+                raise SchemaError("not even one row fits the size limit")
+            files = cut(parts, most)
+            paths = [path] if most >= rows else [part_path(path, k + 1) for k in range(len(files))]
+            plan, stamps = self.plan, (self.created, self.modified)
+            if len(files) == 1 and rows * plan.row_bytes <= SMALL:
+                made = assemble(path, plan, stamps, files[0])
+            else:
+                spark = self.table.df.sparkSession
+                shared = spark.sparkContext.broadcast((paths, files))
+
+                def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    for batch in batches:
+                        n = [assemble(shared.value[0][k], plan, stamps, shared.value[1][k]) for k in batch.column(0).to_pylist()]
+                        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["n"])
+
+                made = spark.range(0, len(files), 1, min(len(files), TASKS)).mapInArrow(put_together, "n long").agg(F.sum("n")).first()[0]
+                shared.destroy()
+            if made != rows:
+                raise CorruptError(f"{made} of {rows} rows are in the files")
+            return paths
+        finally:
+            storage.remove_folder(staging)
 
     def to_bytes(self) -> bytes:
         """The whole file; never split, so for small tables."""
-        with tempfile.TemporaryDirectory() as folder:
-            self._save(self.table.df.orderBy(*self.order_by) if self.order_by else self.table.df, f"{folder}/one.xpt")
-            with open(f"{folder}/one.xpt", "rb") as f:
+        folder = scratch(self.table.df.sparkSession, "bytes")
+        try:
+            whole = ValidatedWrite(self.table, self.plan, self.issues, None, self.created, self.modified, self.order_by)
+            (path,) = whole.write_path(f"{folder}/one.xpt")
+            with storage.open_input(path) as f:
                 return f.read()
-
-
-def _numbered(df: DataFrame) -> DataFrame:
-    """df with ``_row``, 0 up in partition order.
-
-    The high bits of monotonically_increasing_id are the partition, the low ones the place in it; the
-    partitions' sizes (a row each) give what to add.
-    """
-    marked = df.withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    sizes = {r[0]: r[1] for r in marked.groupBy(part.alias("p")).count().collect()}
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    offsets = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
-    return marked.withColumn("_row", offsets[part] + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id")
+        finally:
+            storage.remove_folder(folder)
 
 
 @dataclass
@@ -223,8 +290,8 @@ def writer(table: TransportTable, **options: object) -> Writer:
 
 def batch_folder(spark: SparkSession, folder: str) -> dict[str, TransportTable]:
     """Each file of a folder by its stem."""
-    folder = local_path(folder)
-    return {os.path.splitext(f)[0]: read(spark, f"{folder}/{f}") for f in sorted(os.listdir(folder)) if f.lower().endswith(".xpt")}
+    names = [f.rpartition("/")[2] for f in storage.matching(f"{folder}/*")]
+    return {os.path.splitext(f)[0]: read(spark, f"{folder}/{f}") for f in names if f.lower().endswith(".xpt")}
 
 
 def read_v8(path: str):

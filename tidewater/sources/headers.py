@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 from tidewater.functions.text import WHITE_SPACE, fit_bytes
@@ -87,8 +87,22 @@ def header_bytes(plan: Plan, created: str, modified: str) -> bytes:
     return b"".join(out) + block.ljust(up(len(block))) + OBSERVATIONS
 
 
-def parse_catalogue(read: Callable[[int, int], bytes], size: int, find: Callable[[bytes, int], int], bare_formats: bool = False) -> Catalogue:
-    """All members. ``read(at, n)`` gives bytes, ``find(what, at)`` the next place of ``what`` or -1.
+def member_places(chunks: Iterable[bytes], first: int = 0) -> Iterator[int]:
+    """Where member headers stand on record boundaries in bytes that come from ``first`` on, itself such a boundary."""
+    rest = b""
+    for chunk in chunks:
+        raw = rest + chunk
+        at = raw.find(MEMBER)
+        while at >= 0:
+            if (first + at) % RECORD == 0:
+                yield first + at
+            at = raw.find(MEMBER, at + 1)
+        keep = len(raw) % RECORD
+        rest, first = raw[len(raw) - keep :], first + len(raw) - keep
+
+
+def parse_catalogue(read: Callable[[int, int], bytes], size: int, find: Callable[[int], int], bare_formats: bool = False) -> Catalogue:
+    """All members. ``read(at, n)`` gives bytes, ``find(at)`` the place of the next member header from ``at`` on, or -1.
 
     A member ends where the next one's header stands on a record boundary, or with the file.
     """
@@ -117,9 +131,7 @@ def parse_catalogue(read: Callable[[int, int], bytes], size: int, find: Callable
         begin = at + 5 * RECORD + up(n * DESCRIPTOR)
         record(begin, OBSERVATIONS[:54], "observation header")
         begin += RECORD
-        end = find(MEMBER, begin)
-        while end >= 0 and end % RECORD:
-            end = find(MEMBER, end + 1)
+        end = find(begin)
         end = size if end < 0 else end
         plan = Plan(_text(one[8:16]), _text(two[32:72]) or None, variables, sum(v.length for v in variables))
         rows = 0

@@ -1,24 +1,24 @@
 """Spark data source ``transport``: transport files in parallel, both ways.
 
 Reading: the driver parses headers (schema, one partition for each run of rows); tasks read their byte ranges and
-hand Spark Arrow batches made by numpy, only for the columns asked for (option ``columns``).
-Writing: tasks encode their rows to part files beside the target; on commit the driver writes the header and appends the
-parts in partition order. Paths are on storage that driver and executors mount.
+hand Spark Arrow batches made by numpy, only for the columns asked for (option ``columns``) and, with option
+``pushFilters`` (and Spark's ``spark.sql.python.filterPushdown.enabled``), only for the rows that simple filters keep.
+Where further members start is searched here for files up to ``SEARCH`` bytes; for larger ones ``tidewater.operators.tables`` has tasks
+search and passes the places on (option ``places``).
+Writing: tasks encode their rows to part files beside the target, once. On commit the parts are put together in partition order; with option
+``staging`` they stay there with a manifest, and ``tidewater.operators.tables`` cuts them into files in tasks.
+Paths are ones that driver and executors reach alike (``tidewater.sources.storage``). Timestamps with a zone are written as the session's local time.
 
 Options to read: member, columns, textMode (lossy, strict, latin1), preserveBlanks, blankRows (trailing, stop), rowLimit,
-mode (PERMISSIVE, FAILFAST), specialMissing, bareFormats, rowsPerPartition, rowId.
+mode (PERMISSIVE, FAILFAST), specialMissing, bareFormats, rowsPerPartition, rowId, pushFilters.
 """
 
 from __future__ import annotations
 
-import glob
-import mmap
-import os
+import json
 import pickle
-import shutil
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,42 +26,39 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from tidewater.functions.ibm import decode_array, encode_array
 from tidewater.functions.text import LATIN1, LOSSY, STRICT, WHITE_SPACE
 from tidewater.model import CorruptError, MemberNotFoundError, Plan, SchemaError
 from tidewater.plans.planner import describe
 from tidewater.plans.sizes import up
-from tidewater.sources.headers import Catalogue, Member, header_bytes, parse_catalogue
+from tidewater.sources import storage
+from tidewater.sources.headers import Catalogue, Member, header_bytes, member_places, parse_catalogue
 
 ROWS = 1 << 17  # of a partition, by default about 16 MB of rows at 128 bytes
 BATCH = 1 << 14
-EPOCH = np.datetime64("1960-01-01")
+SEARCH = 64 << 20
+MANIFEST = "manifest.json"
 
 
-def local_path(path: str) -> str:
-    return path.removeprefix("file://").replace("file:/", "/", 1) if path.startswith("file:") else path
+def inspect_file(path: str, bare_formats: bool = False, places: list[int] | None = None) -> Catalogue:
+    """Members and layouts. ``places`` are those of the member headers; without them the file is searched from its first rows on."""
+    total = storage.size(path)
+    if not total:
+        raise CorruptError("empty file")
 
+    def find(at: int) -> int:
+        if places is not None:
+            return next((p for p in places if p >= at), -1)
+        return next(member_places(storage.chunks(path, at, total), at), -1)
 
-def matching(path: str) -> list[str]:
-    """The files that a pattern matches, in order; the path itself if none."""
-    return sorted(glob.glob(local_path(path))) or [local_path(path)]
+    def read(at: int, n: int) -> bytes:
+        f.seek(at)
+        return f.read(n)
 
-
-@contextmanager
-def _mapped(path: str):
-    with open(path, "rb") as f:
-        if os.fstat(f.fileno()).st_size == 0:
-            raise CorruptError("empty file")
-        with mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
-            yield data
-
-
-def inspect_file(path: str, bare_formats: bool = False) -> Catalogue:
-    """Members and layouts; rows are not read."""
-    with _mapped(local_path(path)) as data:
-        return parse_catalogue(lambda at, n: data[at : at + n], len(data), lambda what, at: data.find(what, at), bare_formats)
+    with storage.open_input(path) as f:
+        return parse_catalogue(read, total, find, bare_formats)
 
 
 def field_of(v) -> T.StructField:
@@ -87,9 +84,28 @@ def _trimmed(column: pa.Array) -> pa.Array:
     return pc.utf8_rtrim(column, WHITE_SPACE)
 
 
-def decode_rows(raw: bytes, plan: Plan, wanted: list[str], mode: str = LOSSY, keep_blanks: bool = False, special: bool = False, fail: bool = False) -> dict[str, pa.Array]:
-    """Columns of whole rows."""
-    table = np.frombuffer(raw, np.uint8).reshape(-1, plan.row_bytes)
+def _texts(cell: np.ndarray, mode: str, fail: bool) -> pa.Array:
+    """Strings of (rows, width) bytes; only rows that aren't valid as they are take a loop."""
+    n, width = cell.shape
+    offsets = np.arange(0, cell.size + 1, width, dtype=np.int32) if width else np.zeros(n + 1, np.int32)
+    make = lambda kind, data: pa.Array.from_buffers(kind, n, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    high = (cell >= 128).any(1)
+    if not high.any():
+        return make(pa.string(), cell)
+    if mode != LATIN1:
+        try:
+            return make(pa.binary(), cell).cast(pa.string())
+        except pa.ArrowInvalid:
+            if fail and mode == STRICT:
+                raise ValueError("rows that UTF-8 can't decode") from None
+    form, errors = ("latin-1", "strict") if mode == LATIN1 else ("utf-8", "replace")
+    other = pa.array([bytes(x).decode(form, errors) for x in cell[high]], pa.string())
+    plain = make(pa.string(), np.where(high[:, None], np.uint8(32), cell))
+    return pc.replace_with_mask(plain, pa.array(high), other)
+
+
+def decode_rows(table: np.ndarray, plan: Plan, wanted: Iterable[str], mode: str = LOSSY, keep_blanks: bool = False, special: bool = False, fail: bool = False) -> dict[str, pa.Array]:
+    """Columns of whole rows, which come as (rows, row bytes)."""
     out = {}
     for v in plan.variables:
         if v.name not in wanted:
@@ -101,37 +117,50 @@ def decode_rows(raw: bytes, plan: Plan, wanted: list[str], mode: str = LOSSY, ke
             value, missing, first = decode_array(full)
             out[v.name] = pa.array(value, pa.float64(), mask=missing)
             if special:
-                names = np.array(["." if b == 0x2E else f".{chr(b)}" for b in first], object)
-                out[f"{v.name}__missing"] = pa.array(names, pa.string(), mask=~missing)
+                names = np.array(["." if b == 0x2E else f".{chr(b)}" for b in range(256)], object)
+                out[f"{v.name}__missing"] = pa.array(names[first], pa.string(), mask=~missing)
             continue
-        if mode == LATIN1 or (cell >= 128).any():
-            text = [bytes(x).decode("latin-1") if mode == LATIN1 else bytes(x).decode("utf-8", "strict" if fail and mode == STRICT else "replace") for x in cell]
-            column = pa.array(text, pa.string())
-        else:
-            offsets = np.arange(0, cell.size + 1, v.length, dtype=np.int32) if v.length else np.zeros(len(cell) + 1, np.int32)
-            column = pa.StringArray.from_buffers(len(cell), pa.py_buffer(offsets), pa.py_buffer(cell))
+        column = _texts(cell, mode, fail)
         if not keep_blanks:
             column = _trimmed(column)
         out[v.name] = pc.if_else(pc.equal(column, ""), pa.scalar(None, pa.string()), column)
     return out
 
 
+def as_rows(raw: bytes, plan: Plan) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(-1, plan.row_bytes)
+
+
+COMPARISONS = {EqualTo: pc.equal, GreaterThan: pc.greater, GreaterThanOrEqual: pc.greater_equal, LessThan: pc.less, LessThanOrEqual: pc.less_equal}
+
+
+def holds(f: Filter, column: pa.Array) -> pa.Array:
+    if isinstance(f, IsNull):
+        return column.is_null()
+    if isinstance(f, IsNotNull):
+        return column.is_valid()
+    if isinstance(f, In):
+        return pc.and_(column.is_valid(), pc.is_in(column, pa.array([v for v in f.value if v is not None], column.type)))
+    return pc.fill_null(COMPARISONS[type(f)](column, pa.scalar(f.value, column.type)), False)
+
+
 class TransportReader(DataSourceReader):
     def __init__(self, options: dict, files: list[str], members: list[Member], schema: T.StructType):
         self.options, self.files, self.members, self.schema = options, files, members, schema
+        self.filters: list[Filter] = []
 
     def partitions(self) -> list[Rows]:
         step, left = int(self.options.get("rowspartition", self.options.get("rowsperpartition", ROWS))), int(self.options.get("rowlimit", 2**62))
+        stops = json.loads(self.options.get("stops", "{}"))
         found = []
         for path, m in zip(self.files, self.members, strict=True):
             n = m.rows
             if self.options.get("blankrows", "trailing") == "stop":
-                n = _rows_before_blank(path, m)
+                n = stops[path] if path in stops else blank_row(path, m, 0, n)
             if self.options.get("mode", "").upper() == "FAILFAST" and m.plan.row_bytes:
                 rest = (m.end - m.start) - n * m.plan.row_bytes
-                with _mapped(path) as data:
-                    if data[m.end - rest : m.end].strip(b" "):
-                        raise CorruptError(f"{path}: the last row is incomplete")
+                if any(raw.strip(b" ") for raw in storage.chunks(path, m.end - rest, m.end)):
+                    raise CorruptError(f"{path}: the last row is incomplete")
             n, left = min(n, left), left - min(n, left)
             found += [Rows(path, m.start + a * m.plan.row_bytes, a, min(step, n - a)) for a in range(0, n, step)]
         return found
@@ -143,24 +172,46 @@ class TransportReader(DataSourceReader):
         names = self.schema.fieldNames()
         special, keep = _truth(self.options, "specialmissing"), _truth(self.options, "preserveblanks")
         fail = self.options.get("mode", "").upper() == "FAILFAST"
-        with open(partition.path, "rb") as f:
+        decode = lambda rows, wanted: decode_rows(rows, plan, wanted, self.options.get("textmode", LOSSY), keep, special, fail)
+        with storage.open_input(partition.path) as f:
             f.seek(partition.start)
             for a in range(0, partition.count, BATCH):
                 n = min(BATCH, partition.count - a)
-                columns = decode_rows(f.read(n * plan.row_bytes), plan, names, self.options.get("textmode", LOSSY), keep, special, fail)
-                columns["_row_id"] = pa.array(np.arange(partition.first + a, partition.first + a + n), pa.int64())
+                raw = f.read(n * plan.row_bytes)
+                if len(raw) < n * plan.row_bytes:
+                    raise CorruptError(f"{partition.path}: ends within its rows")
+                rows, ids = as_rows(raw, plan), np.arange(partition.first + a, partition.first + a + n)
+                for own in self.filters:
+                    name = own.attribute[0]
+                    kept = holds(own, decode(rows, [name])[name]).to_numpy(zero_copy_only=False)
+                    rows, ids = rows[kept], ids[kept]
+                columns = decode(rows, names)
+                columns["_row_id"] = pa.array(ids, pa.int64())
                 yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
 
-def _rows_before_blank(path: str, m: Member) -> int:
-    with open(path, "rb") as f:
-        f.seek(m.start)
-        for a in range(0, m.rows, BATCH):
-            n = min(BATCH, m.rows - a)
+class FilteringReader(TransportReader):
+    """Filters that compare a column of the file with a value are applied to rows before their other columns are decoded."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        own = {v.name for m in self.members for v in m.plan.variables}
+        for f in filters:
+            if isinstance(f, (*COMPARISONS, In, IsNull, IsNotNull)) and len(f.attribute) == 1 and f.attribute[0] in own:
+                self.filters.append(f)
+            else:
+                yield f
+
+
+def blank_row(path: str, m: Member, first: int, end: int) -> int:
+    """The first blank row from ``first`` up to ``end``, or ``end``."""
+    with storage.open_input(path) as f:
+        f.seek(m.start + first * m.plan.row_bytes)
+        for a in range(first, end, BATCH):
+            n = min(BATCH, end - a)
             blank = (np.frombuffer(f.read(n * m.plan.row_bytes), np.uint8).reshape(n, -1) == 32).all(1)
             if blank.any():
                 return a + int(blank.argmax())
-    return m.rows
+    return end
 
 
 @dataclass
@@ -184,19 +235,29 @@ def fixed_width(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def encode_rows(batch: pa.RecordBatch, plan: Plan) -> np.ndarray:
+def _binary_text(column: pa.Array) -> pa.Array:
+    try:
+        return column.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([None if b is None else b.decode("utf-8", "replace") for b in column.to_pylist()], pa.string())
+
+
+def encode_rows(batch: pa.RecordBatch, plan: Plan, zone: str = "UTC") -> np.ndarray:
     """(rows, row bytes) of a batch whose columns are in the table's order."""
     out = np.full((batch.num_rows, plan.row_bytes), 32, np.uint8)
     for v in plan.variables:
         column = batch.column(v.source_index)
         where = slice(v.position, v.position + v.length)
+        if pa.types.is_timestamp(column.type):
+            if column.type.tz:
+                column = pc.local_timestamp(column.cast(pa.timestamp("us", zone)))
+            column = column.cast(pa.timestamp("us"))
         if v.numeric:
             kind = column.type
             if pa.types.is_date(kind):
                 column = pc.add(column.cast(pa.int32()).cast(pa.float64()), 3653.0)
             elif pa.types.is_timestamp(kind):
-                ticks = column.cast(pa.timestamp("us")).cast(pa.int64())
-                since = pc.add(ticks, 3653 * 86_400 * 1_000_000)
+                since = pc.add(column.cast(pa.int64()), 3653 * 86_400 * 1_000_000)
                 column = pc.divide(since, 1_000_000).cast(pa.float64(), safe=False)  # toward zero
             out[:, where] = encode_array(column.cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False))
         else:
@@ -204,50 +265,86 @@ def encode_rows(batch: pa.RecordBatch, plan: Plan) -> np.ndarray:
                 column = pc.strftime(column, format="%Y-%m-%d" if pa.types.is_date(column.type) else "%Y-%m-%dT%H:%M:%S")
                 column = pc.utf8_slice_codeunits(column, 0, 19)
             elif pa.types.is_binary(column.type):
-                column = pa.array([None if b is None else b.decode("utf-8", "replace") for b in column.to_pylist()], pa.string())
+                column = _binary_text(column)
             out[:, where] = fixed_width(column, v.length)
     return out
 
 
+def cut(parts: list[Part], most: int) -> list[list[tuple[str, int, int]]]:
+    """Files of at most ``most`` rows, in order, each as runs of rows (path, first, number); one file if there is no row."""
+    files: list[list[tuple[str, int, int]]] = [[]]
+    room = most
+    for p in sorted(parts, key=lambda p: p.partition):
+        first = 0
+        while first < p.rows:
+            if not room:
+                files.append([])
+                room = most
+            n = min(room, p.rows - first)
+            files[-1].append((p.path, first, n))
+            first, room = first + n, room - n
+    return files
+
+
+def assemble(target: str, plan: Plan, stamps: tuple[str, str], runs: list[tuple[str, int, int]]) -> int:
+    """Write one file from runs of rows of part files and give the number of rows. It appears whole or not at all."""
+    temp, rows = f"{target}.{uuid.uuid4().hex}.tmp", 0
+    with storage.create(temp) as out:
+        out.write(header_bytes(plan, *stamps))
+        for path, first, n in runs:
+            begin, got = first * plan.row_bytes, 0
+            for raw in storage.chunks(path, begin, begin + n * plan.row_bytes):
+                out.write(raw)
+                got += len(raw)
+            if got < n * plan.row_bytes:
+                raise CorruptError(f"{path}: {got} bytes in place of {n} rows")
+            rows += n
+        filled = rows * plan.row_bytes
+        out.write(b" " * (up(filled) - filled))
+    storage.move(temp, target)
+    return rows
+
+
 class TransportWriter(DataSourceArrowWriter):
     """Option ``plan`` is the layout, pickled as hex by ``tidewater.operators.tables``."""
 
     def __init__(self, options: dict, overwrite: bool):
-        self.path = local_path(options["path"])
+        self.path = options["path"]
         self.plan: Plan = pickle.loads(bytes.fromhex(options["plan"]))
-        self.created, self.modified = options.get("created", ""), options.get("modified", "")
-        self.staging = f"{self.path}.{uuid.uuid4().hex}.parts"
-        if os.path.exists(self.path) and not overwrite:
+        self.stamps = options.get("created", ""), options.get("modified", "")
+        self.zone, self.keep = options.get("zone", "UTC"), "staging" in options
+        self.staging = options.get("staging", f"{self.path}.{uuid.uuid4().hex}.parts")
+        if not overwrite and storage.exists(self.path):
             raise SchemaError(f"{self.path} exists")
-        os.makedirs(self.staging)
+        storage.make_folder(self.staging)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
         from pyspark import TaskContext
 
         task = TaskContext.get()
         path, rows = f"{self.staging}/{task.partitionId()}-{task.taskAttemptId()}", 0
-        with open(path, "wb") as f:
+        with storage.create(path) as f:
             for batch in iterator:
-                f.write(encode_rows(batch, self.plan).tobytes())
+                f.write(encode_rows(batch, self.plan, self.zone).tobytes())
                 rows += batch.num_rows
         return Part(task.partitionId(), path, rows)
 
     def commit(self, messages: list[Part | None]) -> None:
-        whole = f"{self.staging}/whole"
-        rows = 0
-        with open(whole, "wb") as out:
-            out.write(header_bytes(self.plan, self.created, self.modified))
-            for m in sorted((m for m in messages if m), key=lambda m: m.partition):
-                with open(m.path, "rb") as part:
-                    shutil.copyfileobj(part, out, 1 << 22)
-                rows += m.rows
-            size = rows * self.plan.row_bytes
-            out.write(b" " * (up(size) - size))
-        os.replace(whole, self.path)
-        shutil.rmtree(self.staging)
+        parts = [m for m in messages if m]
+        if self.keep:
+            with storage.create(f"{self.staging}/{MANIFEST}") as f:
+                f.write(json.dumps([(p.partition, p.path, p.rows) for p in parts]).encode())
+            return
+        assemble(self.path, self.plan, self.stamps, cut(parts, 2**62)[0])
+        storage.remove_folder(self.staging)
 
     def abort(self, messages: list[Part | None]) -> None:
-        shutil.rmtree(self.staging, ignore_errors=True)
+        storage.remove_folder(self.staging)
+
+
+def staged_parts(staging: str) -> list[Part]:
+    with storage.open_input(f"{staging}/{MANIFEST}") as f:
+        return [Part(*p) for p in json.loads(f.read())]
 
 
 class TransportSource(DataSource):
@@ -258,10 +355,10 @@ class TransportSource(DataSource):
         return "transport"
 
     def _members(self) -> tuple[list[str], list[Member]]:
-        files = matching(self.options["path"])
+        files, places = storage.matching(self.options["path"]), json.loads(self.options.get("places", "{}"))
         found = []
         for path in files:
-            catalogue = inspect_file(path, _truth(self.options, "bareformats"))
+            catalogue = inspect_file(path, _truth(self.options, "bareformats"), places.get(path))
             if not catalogue.members:
                 raise CorruptError("no members")
             wanted = self.options.get("member")
@@ -284,7 +381,8 @@ class TransportSource(DataSource):
         return T.StructType(fields)
 
     def reader(self, schema: T.StructType) -> TransportReader:
-        return TransportReader(dict(self.options), *self._members(), schema)
+        kind = FilteringReader if _truth(self.options, "pushfilters") else TransportReader
+        return kind(dict(self.options), *self._members(), schema)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> TransportWriter:
         return TransportWriter(dict(self.options), overwrite)
