@@ -1,6 +1,7 @@
 """Kernels without Spark: codes, packing, quality, hashing, contexts."""
 
 import base64
+import math
 import random
 import string
 import zlib
@@ -242,23 +243,154 @@ def test_kept_bytes():
     assert suffix_dedup.kept_bytes(b"0123456789", [{"x": 2, "y": 4}, {"x": 3, "y": 6}, {"x": 6, "y": 7}, {"x": 9, "y": 10}]) == (b"0178", 2)
 
 
-def test_huffman_code_is_complete():
-    counts = np.bincount(np.frombuffer(b"some text to count, with e more often", np.uint8), minlength=256)
-    code = context_mixing.Code(counts)
-    assert sum(2.0 ** -int(n) for n in code.length) == 1.0
-    assert code.length[ord("t")] <= code.length[ord("x")]
+def small_code():
+    raw = np.frombuffer(b"some text to count, with e more often \xc3\xa9", np.uint8)
+    pairs = np.zeros((256, 256), np.int64)
+    np.add.at(pairs, (raw[:-1], raw[1:]), 5)
+    return context_mixing.Code(pairs)
 
 
-def test_run_probabilities_add_up():
-    """Over all single bytes after nothing, and all bits of each, the probabilities sum to one."""
+def test_huffman_codes_are_complete():
+    code = small_code()
+    length = code.length.reshape(256, 256).astype(float)
+    assert np.allclose((2.0**-length).sum(1), 1)
+    assert length[ord("t"), ord(" ")] < length[ord("t"), ord("q")]
+
+
+def test_packed_counts():
+    n = np.array([0, 1, 2, 15, 32, 33, 40, 1000, 10**6, 10**12])
+    got = context_mixing.LEVELS[context_mixing.packed_counts(n, n[::-1]) & 255]
+    assert (got[:5] == n[:5]).all() and (got <= n).all() and (got[5:9] >= 0.94 * n[5:9]).all()
+
+
+def random_mixer(code):
     rng = np.random.default_rng(1)
-    code = context_mixing.Code(rng.integers(0, 50, 256))
-    tables = rng.integers(0, 4, (context_mixing.PREDICTORS, 2, context_mixing.SLOTS)).astype(np.float32)
-    model = context_mixing.Model(code, tables, rng.normal(0.3, 0.1, (16, context_mixing.PREDICTORS + 1)), {})
-    total = (10 ** model.log10([bytes([b]) for b in range(256)])).sum(0)
-    assert np.allclose(total, 1, atol=1e-6)
-    one, two = model.log10([b"the ", b"of "]), model.log10([b"zzz ", b"the ", b"of "])
-    assert np.allclose(one, two[1:])
+    tables = context_mixing.packed_counts(*rng.integers(0, 40, (2, context_mixing.HASHED << context_mixing.SLOT_BITS)))
+    return context_mixing.Mixer(code, tables, rng.normal(0.2, 0.1, (context_mixing.PREDICTORS, context_mixing.GATES)).astype(np.float32))
+
+
+def whole_score(mixer, texts, known=None):
+    """log10 probability of texts, as the operator reads them."""
+    found = pa.array(known or [None] * len(texts), pa.list_(pa.struct([("key", pa.int64()), ("ahead", pa.binary()), ("n", pa.int64())])))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), found], ["text", "found"])
+    score, map_ = np.zeros(len(texts)), None
+    for symbols, match, a, n, first in context_mixing._read(batch, {}, 2):
+        if first:
+            map_ = np.zeros((1 << 16, 2), np.float32) if len(symbols.raw) >= context_mixing.PIECE else None
+        score[a : a + n] += mixer.score(symbols, match, n, map_)
+    return score
+
+
+def test_symbol_probabilities_add_up():
+    """Over all bytes that may follow, the probabilities sum to one."""
+    mixer = random_mixer(small_code())
+    raw = np.arange(256, dtype=np.uint8)
+    symbols = context_mixing.Symbols(raw, np.arange(257), None, False)
+    match = np.full(256, ord("t"), np.uint8), np.full(256, 2, np.uint8)
+    for m in (None, match):
+        assert (10 ** mixer.score(symbols, m, 256)).sum() == pytest.approx(1, abs=1e-5)
+
+
+def scalar_score(mixer, text, known):
+    """The same model read one bit after the other."""
+    cm, m64 = context_mixing, (1 << 64) - 1
+    code, raw = mixer.code, text.encode() + b"\xff"
+    padded, seen, total = b" " * 6 + raw, {}, 0.0
+
+    def mixed(x):
+        return int(cm.mix(np.array([x & m64], np.uint64))[0])
+
+    def word_hash(own):
+        return sum(int(cm.BYTE[b]) * pow(cm.PRIME, i, 1 << 64) for i, b in enumerate(own)) & m64
+
+    found = {k: v for k, v in known.items() if v[1] >= 2}
+    ahead, kind, upto = b"", 0, 0
+    for at, byte in enumerate(raw):
+        i = at + 6
+        if at >= upto and at >= cm.ANCHOR:
+            e = [int.from_bytes(raw[at - k : at - k + 8], "little") for k in (24, 16, 8)]
+            if (e[2] * cm.PRIME & m64) >> (64 - cm.EVERY_BITS) == 0:
+                key = mixed(mixed(e[0] * cm.PRIME + e[1]) + e[2])
+                key = key - (1 << 64) if key >> 63 else key
+                if key in found:
+                    ahead, kind = found[key][0], 1 if found[key][1] < cm.LONG else 2
+                    same = 0
+                    while same < len(ahead) and at + same < len(raw) and ahead[same] == raw[at + same]:
+                        same += 1
+                    begin, upto = at, min(at + min(same + 1, len(ahead)), len(raw))
+        back = int.from_bytes(padded[i - 6 : i][::-1], "little")
+        hashes = []
+        for order in cm.ORDERS:
+            h = ((back & (1 << 8 * order) - 1) + order) & m64
+            h = (h ^ h >> 23) * 0x9E3779B97F4A7C15 & m64
+            hashes.append((h ^ h >> 29) * 0xBF58476D1CE4E5B9 % (1 << 64) >> 32)
+        start = i
+        while start > 0 and padded[start - 1] > 32:
+            start -= 1
+        ends = [j for j in range(1, start) if padded[j] <= 32 < padded[j - 1]]
+        before = 0
+        if ends:
+            a = ends[-1]
+            while a > 0 and padded[a - 1] > 32:
+                a -= 1
+            before = mixed(word_hash(padded[a : ends[-1]]) + 1)
+        hashes.append(mixed(word_hash(padded[start:i]) + before * cm.PRIME + i - start) >> 32)
+        pair = padded[i - 1] << 8 | byte
+        guess, live = (padded[i - 1] << 8 | ahead[at - begin], True) if at < upto else (0, False)
+        for d in range(code.length[pair]):
+            node, turn = int(code.node[code.begin[pair] + d]), int(code.turn[code.begin[pair] + d])
+            slots = [((h + node * 0x9E3779B1) * 0x85EBCA6B % (1 << 32) >> (32 - cm.SLOT_BITS)) + (k << cm.SLOT_BITS) for k, h in enumerate(hashes)]
+            values = [int(mixer.inputs[s]) for s in slots]
+            gate = (values[1] & 3) + 4 * (values[3] & 3 > 0) + 8 * (kind if live else 0)
+            w = mixer.weights[:, gate].astype(float)
+            z = w[0] * code.odds[node] + sum(w[1 + k] * v / cm.SCALE for k, v in enumerate(values)) + w[-1]
+            if live:
+                told = int(code.turn[code.begin[guess] + d])
+                z += w[-2] * (2 * told - 1)
+                live = told == turn
+            p = 1 / (1 + math.exp(-max(-14, min(14, z))))
+            key = ((back & 0xFFFF) * 0x9E3779B1 + node * 0x85EBCA6B) * 0xC2B2AE35 % (1 << 32) >> 18, int(p * 3.999), d
+            n0, n1 = seen.get(key, (0, 0))
+            seen[key] = n0 + 1 - turn, n1 + turn
+            p = (n1 + cm.TRUST * p) / (n0 + n1 + cm.TRUST)
+            total += math.log10(p if turn else 1 - p)
+    return total
+
+
+def test_scores_are_the_scalar_models():
+    """Blocks of texts, matches and maps give what one bit after the other gives."""
+    mixer = random_mixer(small_code())
+    prose = "The count of words, and the count of lines; with some more text often. " * 6
+    raw = (prose + "x").encode()
+    text, place, key = context_mixing.anchors(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    known = [{"key": int(k), "ahead": raw[p : p + 50] + b"?", "n": n} for k, p, n in zip(key, place, (2, 7, 1) * len(key), strict=False)]
+    assert known
+    texts = ["", "a", " two  spaces\n", "été 有害 😀", prose, prose[:200] + "X" + prose[230:], "no anchors"]
+    got = whole_score(mixer, texts, [known if t.startswith("The") else None for t in texts])
+    own = {k["key"]: (k["ahead"], k["n"]) for k in known}
+    for t, g in zip(texts, got, strict=True):
+        assert g == pytest.approx(scalar_score(mixer, t, own if t.startswith("The") else {}), rel=2e-3, abs=2e-3), t
+    assert not np.allclose(whole_score(mixer, [prose]), whole_score(mixer, [" ".join(reversed(prose.split(" ")))]))
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """A text in pieces is worth about what it is whole, and the pieces cover it."""
+    mixer = random_mixer(small_code())
+    text = "".join(random.Random(3).choice("abcde ,") for _ in range(40_000))
+    whole = whole_score(mixer, [text])
+    monkeypatch.setattr(context_mixing, "PIECE", 3000)
+    assert whole_score(mixer, [text, "short"])[0] == pytest.approx(whole[0], rel=0.02)
+    raw, at = text_bytes(pa.array([text]))
+    parts = list(context_mixing.pieces(raw, at, 0, 1))
+    assert b"".join(p.raw.tobytes() for p, _ in parts) == text.encode() + b"\xff" and [w.stop for _, w in parts[:2]] == [3000, 6000]
+
+
+def test_words_of_a_column():
+    texts = ["", " A b\ta ", "x", None, "É\u00a0é B", "\n\n"]
+    words = context_mixing.Words(pa.array(texts, pa.string()))
+    distinct = words.distinct.to_pylist()
+    got = [[distinct[c].decode() for c in words.codes[a:b]] for a, b in zip(words.at, words.at[1:], strict=False)]
+    assert got == [[], ["a", "b", "a"], ["x"], [], ["É\u00a0é", "b"], []]
 
 
 def test_slices_keep_rows():
