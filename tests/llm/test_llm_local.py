@@ -245,14 +245,16 @@ def test_kept_bytes():
 
 def small_code():
     raw = np.frombuffer(b"some text to count, with e more often \xc3\xa9", np.uint8)
-    pairs = np.zeros((256, 256), np.int64)
-    np.add.at(pairs, (raw[:-1], raw[1:]), 5)
-    return context_mixing.Code(pairs)
+    single, pairs = np.zeros((256, 256), np.int64), np.zeros((1 << 16, 256), np.int64)
+    np.add.at(single, (raw[:-1], raw[1:]), 5)
+    np.add.at(pairs, (raw[:-2].astype(int) << 8 | raw[1:-1], raw[2:]), 5)
+    some = np.flatnonzero(pairs.sum(1))[:20]
+    return context_mixing.Code(single, some, pairs[some])
 
 
 def test_huffman_codes_are_complete():
     code = small_code()
-    length = code.length.reshape(256, 256).astype(float)
+    length = code.length.reshape(276, 256).astype(float)
     assert np.allclose((2.0**-length).sum(1), 1)
     assert length[ord("t"), ord(" ")] < length[ord("t"), ord("q")]
 
@@ -335,13 +337,14 @@ def scalar_score(mixer, text, known):
                 a -= 1
             before = mixed(word_hash(padded[a : ends[-1]]) + 1)
         hashes.append(mixed(word_hash(padded[start:i]) + before * cm.PRIME + i - start) >> 32)
-        pair = padded[i - 1] << 8 | byte
-        guess, live = (padded[i - 1] << 8 | ahead[at - begin], True) if at < upto else (0, False)
+        tree = int(code.tree[padded[i - 2] << 8 | padded[i - 1]])
+        pair = tree << 8 | byte
+        guess, live = (tree << 8 | ahead[at - begin], True) if at < upto else (0, False)
         for d in range(code.length[pair]):
             node, turn = int(code.node[code.begin[pair] + d]), int(code.turn[code.begin[pair] + d])
             slots = [((h + node * 0x9E3779B1) * 0x85EBCA6B % (1 << 32) >> (32 - cm.SLOT_BITS)) + (k << cm.SLOT_BITS) for k, h in enumerate(hashes)]
             values = [int(mixer.inputs[s]) for s in slots]
-            gate = (values[1] & 3) + 4 * (values[3] & 3 > 0) + 8 * (kind if live else 0)
+            gate = (values[0] & 3) + 4 * (values[2] & 3 > 0) + 8 * (kind if live else 0)
             w = mixer.weights[:, gate].astype(float)
             z = w[0] * code.odds[node] + sum(w[1 + k] * v / cm.SCALE for k, v in enumerate(values)) + w[-1]
             if live:
@@ -349,7 +352,7 @@ def scalar_score(mixer, text, known):
                 z += w[-2] * (2 * told - 1)
                 live = told == turn
             p = 1 / (1 + math.exp(-max(-14, min(14, z))))
-            key = ((back & 0xFFFF) * 0x9E3779B1 + node * 0x85EBCA6B) * 0xC2B2AE35 % (1 << 32) >> 18, int(p * 3.999), d
+            key = ((back & 0xFFFF) * 0x9E3779B1 + node * 0x9E3779B1) * 0x85EBCA6B % (1 << 32) >> 18, int(p * 3.999), d
             n0, n1 = seen.get(key, (0, 0))
             seen[key] = n0 + 1 - turn, n1 + turn
             p = (n1 + cm.TRUST * p) / (n0 + n1 + cm.TRUST)
