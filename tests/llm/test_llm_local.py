@@ -196,6 +196,34 @@ def test_shingle_sets(texts):
             assert len(a & b) == len(want[i] & want[j]) and (not want[i] or (sets.cls[i] == sets.cls[j]) == (want[i] == want[j]))
 
 
+@pytest.mark.parametrize("percent", [80, 85, 97])
+@pytest.mark.parametrize("size", [2, 3, 7, 24, 63, 64, 234, 235, 236, 255, 256, 257, 900, 3000])
+def test_similar_sets_share_a_key(size, percent):
+    """Whatever shingles are rare, frequent or not counted: sets near the bound meet, in classes of size on either side, under keys in proportion to their size."""
+    rng = np.random.default_rng(size * 100 + percent)
+    for trial in range(12):
+        base = rng.choice(1 << 62, 3 * size + 20, replace=False).astype(np.uint64)
+        # b is a without some and with some others, as unlike as the bound allows
+        gone = rng.integers(0, size - -(-percent * size // 100) + 1)
+        more = max(0, 100 * (size - gone) // percent - size)
+        a, b = base[:size], np.concatenate([base[gone:size], base[size : size + rng.integers(0, more + 1)]])
+        common = len(np.intersect1d(a, b))
+        if 100 * common < percent * len(np.union1d(a, b)) or len(b) < 2:
+            continue
+        rare = (0.0, 0.5, 0.9, 1.0)[trial % 4]
+        rank = {int(x): 0 if rng.random() < rare else int(rng.choice([1, 5, 63])) for x in base}
+        t, doc, ranks, place = [], [], [], []
+        for d, own in enumerate((a, b)):
+            own = sorted(own.tolist(), key=lambda x: (rank[x], x))
+            t += own
+            doc += [d] * len(own)
+            ranks += [rank[x] for x in own]
+            place += range(len(own))
+        keys, owners = jaccard_join.prefix_keys(np.array(t, np.uint64), np.array(doc), np.array(ranks), np.array(place), np.array([len(a), len(b)]), percent)
+        assert set(keys[owners == 0].tolist()) & set(keys[owners == 1].tolist())
+        assert np.bincount(owners).max() <= 2.5 * max(len(a), len(b)) + 6
+
+
 def test_sketches_prove_only_what_is_true():
     rng = np.random.default_rng(2)
     base = [f"w{i}" for i in range(400)]

@@ -4,14 +4,19 @@ A document's set is its distinct 4-word shingles, as 64-bit hashes. Documents wi
 (named by a hash of the set), so copies never meet as pairs.
 
 All shingles have one order: rare ones first, then those of frequent classes (powers of two of
-the document frequency). Sets with Jaccard similarity t share at least k shingles among the first
-n - ceil(t n) + k of each. With k = 2: rare shingles of that prefix are indexed singly, frequent ones
-in combinations of two. (Long sets made of frequent shingles would have too many combinations and are indexed singly; sets
-near the bound in size have both, so that any two similar ones meet.)
+the document frequency), then those that are not counted. Sets with Jaccard similarity t share at least k shingles among the first
+n - ceil(t n) + k of each, the first k that they share at all. So:
+
+* rare shingles of the prefix for k = 1 are indexed singly. That is all a set needs whose whole prefix is rare: the first shingle
+  that it shares with a similar one is there.
+* Else the prefix is extended to k = B + 1, and its other shingles are dealt by hash into B buckets and indexed in combinations of two within a bucket. If
+  the first shared shingle isn't rare, none is, so B + 1 shared ones fall into B buckets and some bucket has two of them. B is a twelfth of the
+  least size of a size class (powers of two), so that a set has about half as many combinations as shingles, whatever its size.
+  Two similar sets use the class of the larger: a set near the end of its class is indexed for the next one too.
 
 Document frequencies count all documents, for the quarter of shingles with the lowest hashes: these fill
-the prefixes, and a shingle's place in the order is its own affair, so any rule gives right results.
-At most ``FREQUENT`` of them, the most frequent, are known to every task.
+most prefixes, and a shingle's place in the order is its own affair, so any rule gives right results.
+At most ``FREQUENT`` of them, the most frequent, are known to every task; those not counted are treated like frequent ones.
 
 Within a posting list, sets are compared in rounds. First each with the list's smallest (linear in
 the list). Then, in lists whose members are not yet in one component, pairs across components, unless a
@@ -40,7 +45,7 @@ from tidewater.llm.components import connected_components
 
 WORDS, PERCENT = 4, 85
 FREQUENT, LEAST_DF, LOW_BITS = 1 << 19, 8, 2
-PAIRS_UPTO = 235  # larger sets, and those similar to such, are indexed singly
+BUCKET = 12  # shingles of a set for each bucket of combinations
 SKETCH = 512
 SLICE = 2 << 20
 
@@ -160,30 +165,53 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shared, bits: int, words: int,
             chosen = sets.first_of_class()
             own = np.isin(sets.doc, chosen[sets.n[chosen] > 1])
             t, doc = sets.tokens[own], sets.doc[own]
-            rank = np.where(t >> np.uint64(64 - LOW_BITS) == 0, 0, 1)
+            rank = np.where(t >> np.uint64(64 - LOW_BITS) == 0, 0, 63)
             if len(short):
                 low = np.flatnonzero(rank == 0)
                 key = (t[low] >> np.uint64(32 - LOW_BITS - bits)).astype(np.int64)
                 k = np.minimum(np.searchsorted(short, key), len(short) - 1)
-                rank[low] = np.where(short[k] == key, 2 + level[k], 0)
+                rank[low] = np.where(short[k] == key, 1 + level[k], 0)
             by = np.argsort(doc * 64 + rank, kind="stable")
             t, doc, rank = t[by], doc[by], rank[by]
-            n = sets.n[doc]
             start = np.zeros(len(sets.n) + 1, np.int64)
             np.cumsum(np.bincount(doc, minlength=len(sets.n)), out=start[1:])
-            place = np.arange(len(t)) - start[doc]
-            inside = place < n + (-percent * n) // 100 + 2  # n - ceil(t n) + k
-            t, doc, rank, n = t[inside], doc[inside], rank[inside], n[inside]
-            single = (rank < 2) | (n >= PAIRS_UPTO * percent // 100)
-            keys, owners = [t[single].view(np.int64)], [doc[single]]
-            pair = (rank >= 2) & (n <= PAIRS_UPTO)
-            for d in np.unique(doc[pair]).tolist():
-                mine = np.sort(t[pair & (doc == d)])
-                i, j = np.triu_indices(len(mine), 1)
-                keys.append(mix(mine[i] * PLACE[8] + mine[j] * PLACE[9]).view(np.int64))
-                owners.append(np.full(len(i), d))
-            doc = np.concatenate(owners)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(sets.n[doc]), pa.array(sets.cls[doc])], ["token", "n", "cls"])
+            keys, docs = prefix_keys(t, doc, rank, np.arange(len(t)) - start[doc], sets.n, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sets.n[docs]), pa.array(sets.cls[docs])], ["token", "n", "cls"])
+
+
+def size_class(n: np.ndarray) -> np.ndarray:
+    """The greatest power of two up to n."""
+    return np.int64(1) << (np.frexp(n.astype(np.float64))[1].astype(np.int64) - 1)
+
+
+def prefix_keys(t: np.ndarray, doc: np.ndarray, rank: np.ndarray, place: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys under which sets are indexed, and whose they are. Shingles t come by set in the common order, with their rank (0: rare) and place; size: of each set."""
+    n = size[doc]
+    spare = n - -(-percent * n // 100)  # n - ceil(t n)
+    single = (rank == 0) & (place <= spare)
+    keys, owners = [t[single]], [doc[single]]
+    open_ = np.zeros(len(size), bool)
+    open_[doc[(rank > 0) & (place <= spare)]] = True
+    own = size_class(np.maximum(size, 1))
+    for cls in (own, size_class(np.maximum(100 * size // percent, 1))):
+        some = open_ if cls is own else open_ & (cls != own)
+        buckets = np.maximum(1, cls // BUCKET)
+        inside = np.flatnonzero(some[doc] & (rank > 0) & (place <= spare + buckets[doc]))
+        if not len(inside):
+            continue
+        x, d = t[inside], doc[inside]
+        salt = mix(cls[d].astype(np.uint64) * PLACE[10])
+        bucket = ((mix(x ^ PLACE[7]) >> np.uint64(32)) % buckets[d].astype(np.uint64)).astype(np.int64)
+        by = np.lexsort((x, bucket, d))
+        x, d, bucket, salt = x[by], d[by], bucket[by], salt[by]
+        new = np.ones(len(x), bool)
+        new[1:] = (d[1:] != d[:-1]) | (bucket[1:] != bucket[:-1])
+        end = np.append(np.flatnonzero(new)[1:], len(x))[np.cumsum(new) - 1]
+        for gap in range(1, int((end - np.arange(len(x))).max())):
+            i = np.flatnonzero(np.arange(len(x)) + gap < end)
+            keys.append(mix(x[i] * PLACE[8] + x[i + gap] * PLACE[9] + salt[i]))
+            owners.append(d[i])
+    return np.concatenate(keys), np.concatenate(owners)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.Table]:
