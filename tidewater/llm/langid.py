@@ -5,8 +5,8 @@ frequency times inverse document frequency, unit length. Each language has up to
 k-means). A text goes to the language of its most similar centroid by cosine; one whose similarity
 is below a bound learned from the training texts is rejected.
 
-The classifier is fitted on a bounded sample: at most ``SAMPLE`` labelled rows in all and
-``PER_LANG`` of a language, chosen by a hash of the id among all of them; prediction covers all rows and whole texts.
+The classifier is fitted on a bounded sample: about ``SAMPLE`` labelled rows in all and at most ``PER_LANG`` of a language, chosen by a hash of id and text among
+all of them, and one row at least of every language, however many there are; prediction covers all rows and whole texts. The model is 16 KB for each centroid.
 
 Cases: null text, or text without a letter, is ``und`` with score 0, and rejected; a null id is never
 used for training and is not held out; a null language is never used for training; without any
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidewater.llm._common import slices, table, text_bytes
 
 DIM, ORDERS, CENTROIDS = 4096, (1, 2, 3), 4
-PER_LANG, SAMPLE, LANGUAGES = 400, 8000, 2000
+PER_LANG, SAMPLE = 400, 8000
 FULL = 1500  # n-grams from which the bound for rejection holds in full
 UND = "und"
 #: ASCII letters and all bytes of other characters stay; the rest separates words.
@@ -90,17 +90,17 @@ def _centroids(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, sample: int = SAMPLE) -> dict:
     """Centroids from the rows of docs (doc_id, text, lang) where ``learn`` holds."""
     rows = docs.select("doc_id", "text", "lang").where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy("lang").limit(LANGUAGES).collect()}
+    rows = rows.withColumn("pick", F.xxhash64("doc_id", "text"))
+    sizes = rows.groupBy("lang").agg(F.count("*"), F.min("pick")).collect()
     if not sizes:
         return {"langs": [], "centroids": np.zeros((0, DIM), np.float32), "owner": np.zeros(0, np.int64), "idf": np.ones(DIM, np.float32), "least": np.zeros(0)}
     each = max(1, min(per_lang, sample // len(sizes)))
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 1.25 * each / n))])
-    pick = F.xxhash64("doc_id")
-    chosen = rows.withColumn("pick", pick).where(F.pmod("pick", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-    chosen = chosen.orderBy("pick", "doc_id", "text").limit(2 * sample)
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, 1.25 * each / n), least) for lang, n, least in sizes], "lang string, share double, least long")
+    chosen = rows.join(F.broadcast(shares), "lang").where((F.pmod("pick", F.lit(1_000_000)) < F.col("share") * 1_000_000) | (F.col("pick") == F.col("least")))
+    chosen = chosen.select("lang", "pick", "text").dropDuplicates(["lang", "pick"])  # repeated rows teach once
     got = chosen.mapInArrow(_sparse, "lang string, pick long, packed binary").collect()
-    langs, count, taken = sorted(sizes), [], []
-    seen = dict.fromkeys(langs, 0)
+    langs, count, taken = sorted(r[0] for r in sizes), [], []
+    seen, number = dict.fromkeys(langs, 0), {lang: j for j, lang in enumerate(langs)}
     for r in sorted(got, key=lambda r: (r["lang"], r["pick"], r["packed"])):
         if seen[r["lang"]] < each:
             seen[r["lang"]] += 1
@@ -108,15 +108,13 @@ def fit(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, sample: int =
             row = np.zeros(DIM, np.int32)
             row[at] = n
             count.append(row)
-            taken.append(langs.index(r["lang"]))
+            taken.append(number[r["lang"]])
     count, taken = np.stack(count), np.array(taken)
     idf = (np.log((1 + len(count)) / (1 + (count > 0).sum(0))) + 1).astype(np.float32)
     v = vectors(count, idf)
     parts, owner, least = [], [], []
     for j in range(len(langs)):
         own = v[taken == j]
-        if not len(own):
-            continue
         c = _centroids(own, CENTROIDS)
         parts.append(c)
         owner += [j] * len(c)
