@@ -344,7 +344,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in (size, gone, runs)), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_texts(batches: Iterator[pa.RecordBatch], size: str | None) -> Iterator[pa.RecordBatch]:
+    """size: the column that counts a text's characters."""
     for whole_batch in batches:
         for batch in slices(whole_batch, "text"):
             texts, whole = [], []
@@ -353,8 +354,8 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts.append(text if not ranges else kept_bytes((text or "").encode(), ranges)[0].decode("utf-8", "ignore"))
             names = [c for c in batch.schema.names if c not in ("k1", "k2", "ranges")]
             out = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
-            if "n_chars" in out:
-                out["n_chars"] = pa.array([n if w else len(t) for n, w, t in zip(out["n_chars"].to_pylist(), whole, texts, strict=True)], out["n_chars"].type)
+            if size is not None:
+                out[size] = pa.array([n if w else len(t) for n, w, t in zip(out[size].to_pylist(), whole, texts, strict=True)], out[size].type)
             rows = pa.RecordBatch.from_arrays(list(out.values()), list(out))
             yield rows.filter(pa.array([w or bool(t) for w, t in zip(whole, texts, strict=True)], pa.bool_()))
 
@@ -368,10 +369,14 @@ def removal_report(docs: DataFrame) -> DataFrame:
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """docs without the repeated passages; a character cut in two goes, and so does a row of which nothing is left.
 
-    Columns stay; ``n_chars`` follows the text where there is one.
+    Columns stay, whatever their names (``doc_id``, a whole number, and ``text`` have to be there); ``n_chars`` follows the text where there is one.
     """
-    own = tuple(c for c in docs.columns if c != "text")
-    return repeats(keyed(docs), own).mapInArrow(_cut_texts, docs.select("text", *own).schema).select(*docs.columns)
+    inner = {c: c if c in ("doc_id", "text") else f"column_{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.toDF(*inner.values())
+    own = tuple(c for c in plain.columns if c != "text")
+    size = inner.get("n_chars")
+    cut = repeats(keyed(plain), own).mapInArrow(lambda b: _cut_texts(b, size), plain.select("text", *own).schema)
+    return cut.select(*plain.columns).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
