@@ -1,6 +1,6 @@
 """Token counts: pieces are counted once per distinct pre-token and joined to each document's pre-tokens.
 
-Texts are cut at single spaces (no token of the vocabulary holds one). For each block of documents
+Texts are cut at single spaces (no token of the vocabulary holds one; a vocabulary where one does is refused). For each block of documents
 the pre-tokens are dictionary-encoded: every distinct one is counted once by the tokenizer (and kept
 for later blocks, up to a bound), the counts are joined to the documents' codes by position, and
 summed over each document's run of codes. No token ids of a document are ever made.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm._common import slices, table, tokenizer_path
 
-KEPT = 500_000
+KEPT_BYTES = 64 << 20  # of pre-tokens that a worker keeps
 LIMIT = 2048
 _WORKER: dict = {}
 
@@ -33,20 +33,15 @@ class PieceCounts:
     """Pieces of pre-tokens by the library that reads ``path``."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.known: dict[str, int] = {}
-        if path.endswith(".json"):
-            from tokenizers import Tokenizer
-
-            model = Tokenizer.from_file(path)
-            model.no_truncation()
-            model.no_padding()
-            self.count = lambda texts: [len(e.ids) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
-        else:
-            import sentencepiece
-
-            model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.count = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+        self.held = 0
+        model = Tokenizer.from_file(path)
+        model.no_truncation()
+        model.no_padding()
+        self.count = lambda texts: list(map(len, model.encode_batch_fast(texts, add_special_tokens=False)))
 
     def of(self, words: list[str]) -> np.ndarray:
         known = self.known
@@ -54,8 +49,9 @@ class PieceCounts:
         missing = [i for i, x in enumerate(out) if x is None]
         for i, n in zip(missing, self.count([words[i] for i in missing]) if missing else (), strict=True):
             out[i] = n
-            if len(known) < KEPT:
+            if self.held < KEPT_BYTES:
                 known[words[i]] = n
+                self.held += 150 + 2 * len(words[i])
         return np.array(out, np.int64)
 
 
@@ -79,12 +75,26 @@ def _counted(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterat
             yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(tokens, pa.int64()), pa.array(tokens > limit, pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
 
+def check_vocabulary(path: str) -> None:
+    """Raise ValueError unless spaces are dropped and what they part is tokenized apart."""
+    if not path.endswith(".json"):
+        raise ValueError(f"{path}: pieces of this kind of vocabulary hold spaces")
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    ids = lambda text: model.encode(text, add_special_tokens=False).ids
+    probe = "The words of a text, 12 of them ."
+    if ids(" ") or ids(probe) != [i for w in probe.split(" ") for i in ids(w)]:
+        raise ValueError(f"{path}: tokens hold spaces, so texts can't be cut there")
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of docs (doc_id, text), for a vocabulary whose tokens never hold a space.
 
-    That is so for word BPE with white space dropped, the kind registered here; a vocabulary with
-    tokens across spaces (byte-level, or pieces that join words) needs its own cut.
+    That is so for word BPE with white space dropped, the kind registered here. Vocabularies with tokens that hold a space or its sign
+    (byte-level, or pieces that join words) would be counted wrongly and raise ValueError.
     """
+    check_vocabulary(path)
     rows = docs.select("doc_id", "text")
     return rows.mapInArrow(lambda b: _counted(b, path, limit), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
 
