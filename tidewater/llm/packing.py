@@ -28,7 +28,7 @@ from tidewater.llm.bpe import read_ranks
 
 CAPACITY, END_ID, SPECIAL = 2048, 0, "<|endoftext|>"
 SHARD = 25_000
-KEPT = 400_000
+KEPT_BYTES = 64 << 20  # of runs and their ids that a worker keeps
 
 
 def sum_of_squares_pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,12 +66,13 @@ class _Runs(dict):
     """ids of a run and the space before it; None if the run isn't apart from its neighbours."""
 
     def __init__(self, encode):
-        self.encode = encode
+        self.encode, self.held = encode, 0
 
     def __missing__(self, run: str) -> bytes | None:
         ids = None if not run or run[0].isspace() or run[-1].isspace() else np.array(self.encode(f" {run}"), "<u4").tobytes()
-        if len(self) < KEPT:
+        if self.held < KEPT_BYTES:
             self[run] = ids
+            self.held += 200 + 2 * len(run) + len(ids or b"")
         return ids
 
 
