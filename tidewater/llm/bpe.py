@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm._common import slices, table, texts_of, tokenizer_path
 
-KEPT = 300_000  # pre-tokens, and runs, that a worker keeps
+KEPT_BYTES = 48 << 20  # of pre-tokens, and of runs, that a worker keeps
 STATES = 400_000  # moves that a worker keeps
 
 
@@ -128,12 +128,13 @@ class Transducer:
 
 class _PreTokens(dict):
     def __init__(self, machine: Transducer):
-        self.machine = machine
+        self.machine, self.held = machine, 0
 
     def __missing__(self, word: str) -> bytes:
         ids = self.machine.encode(word.encode())
-        if len(self) < KEPT:
+        if self.held < KEPT_BYTES:
             self[word] = ids
+            self.held += 180 + 2 * len(word) + len(ids)
         return ids
 
 
@@ -141,15 +142,16 @@ class _Runs(dict):
     """What stands between two single spaces -> ids with the space before it; None if it isn't apart from its neighbours."""
 
     def __init__(self, split, words: _PreTokens):
-        self.split, self.words = split, words
+        self.split, self.words, self.held = split, words, 0
 
     def __missing__(self, run: str) -> bytes | None:
         if not run or run[0].isspace() or run[-1].isspace():
             ids = None
         else:
             ids = b"".join(map(self.words.__getitem__, self.split(f" {run}")))
-        if len(self) < KEPT:
+        if self.held < KEPT_BYTES:
             self[run] = ids
+            self.held += 180 + 2 * len(run) + len(ids or b"")
         return ids
 
 
