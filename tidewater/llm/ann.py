@@ -23,6 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +36,11 @@ RERANK, LEAST_RERANK = 0.12, 512
 
 def matrix(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors, as doubles, of the rows that take part."""
-    rows = zip(ids.to_pylist(), vectors.to_pylist(), strict=True)
-    rows = [(i, v) for i, v in rows if i is not None and v is not None and len(v) == dim and None not in v]
-    at, x = np.array([i for i, _ in rows], np.int64), np.array([v for _, v in rows], np.float64).reshape(len(rows), dim)
+    fits = pc.and_(ids.is_valid(), pc.fill_null(pc.equal(pc.list_value_length(vectors), dim), False))
+    ids, vectors = ids.filter(fits), vectors.filter(fits)
+    x = pc.fill_null(vectors.flatten(), float("nan")).to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(ids), dim)
     ok = np.isfinite(x).all(1) & (x != 0).any(1)
-    return at[ok], x[ok]
+    return ids.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)[ok], x[ok]
 
 
 def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
