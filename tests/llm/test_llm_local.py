@@ -45,7 +45,7 @@ def test_bpe_on_odd_texts(encoder, library, monkeypatch):
     for text in TEXTS:
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode_ordinary(text)
     monkeypatch.setattr(bpe, "STATES", 50)
-    monkeypatch.setattr(bpe, "KEPT", 3)
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 500)
     small = bpe.Encoder(encoder.words.machine.ranks, public_tokenizers.PATTERN)
     for text in TEXTS * 2:
         assert small.encode(text) == encoder.encode(text)
@@ -170,6 +170,69 @@ def test_compression_bands():
     assert quality.ratios(half.encode(), press)[1] > quality.BAD_CHUNKS
 
 
+def test_kept_by_hand():
+    """The bands by hand: texts and their chunks, at the borders of both."""
+    import zstandard
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    noise = lambda n: " ".join("".join(rng.choice(string.ascii_letters + string.digits) for _ in range(6)) for _ in range(n // 7))
+    press = lambda raw: len(raw) / len(zstandard.ZstdCompressor(level=quality.LEVEL).compress(raw))
+
+    def kept(text):
+        raw = text.encode()
+        counts = brute_quality(text)
+        if counts[-1]:
+            return False
+        least = [1.55, 1.55, 1.5, 1.4, 1.33, 1.18, 0.0][sum(len(raw) <= e for e in (25_600, 6400, 1600, 800, 400, 200))]
+        most = [4.5, 3.5, 3.0, 2.75, 2.5, 2.5, 2.25][sum(len(raw) <= e for e in (25_600, 6400, 1600, 800, 400, 200))]
+        chunks = [raw[i : i + 2048] for i in range(0, len(raw) - 2047, 2048)] + ([raw[-2048:]] if len(raw) > 2048 and len(raw) % 2048 else [])
+        bad = sum(not 1.5 <= press(c) <= 5.0 for c in chunks)
+        return least <= press(raw) <= most and (not chunks or bad / len(chunks) <= 0.25)
+
+    seen = set()
+    for size in (180, 300, 420, 799, 1000, 2047, 2048, 2049, 4095, 4096, 4097, 7000, 30_000):
+        prose = " ".join(rng.choice(words) for _ in range(size))[:size]
+        for text in (prose, noise(size + 20)[:size], prose[: size // 2] + noise(size)[: size - size // 2], "one and the same line\n" * (size // 22), " ".join(f"{w} {i}" for i, w in enumerate(prose.split(" ")))[:size]):
+            got = quality.measure(text, zstandard.ZstdCompressor(level=quality.LEVEL))
+            assert got[-1] == kept(text), (size, text[:40])
+            seen.add(got[-1])
+    assert seen == {True, False}
+
+
+def test_predictions_are_the_plain_classifiers():
+    """TF-IDF cosines by a dictionary of n-grams, against the matrices."""
+    rng = random.Random(5)
+    texts = {"a": ["".join(rng.choice("abcdef ") for _ in range(200)) for _ in range(12)], "b": ["".join(rng.choice("uvwxyzé ") for _ in range(200)) for _ in range(12)], "c": ["".join(rng.choice("abcxyz ") for _ in range(200)) for _ in range(12)]}
+    count = langid.counts([t for own in texts.values() for t in own])
+    idf = (np.log((1 + len(count)) / (1 + (count > 0).sum(0))) + 1).astype(np.float32)
+    v = langid.vectors(count, idf)
+    centroids = np.concatenate([langid._centroids(v[k * 12 : k * 12 + 12], 4) for k in range(3)])
+    model = {"langs": list(texts), "centroids": centroids, "owner": np.repeat(np.arange(3), 4), "idf": idf, "least": np.full(12, 0.3)}
+
+    def grams(text):
+        raw, out = bytearray(), {}
+        for b in text.lower().encode():
+            c = b if b >= 128 or chr(b).isalpha() else 32
+            if not (c == 32 and raw and raw[-1] == 32):
+                raw.append(c)
+        for g in langid.ORDERS:
+            for i in range(len(raw) - g + 1):
+                h = int.from_bytes(raw[i : i + g], "big")
+                k = ((h + g * 0x1000193) * 0x9E3779B1 & 0xFFFFFFFF) >> 20
+                out[k] = out.get(k, 0) + 1
+        return out
+
+    probes = ["abc def", "uvw Xyz é", "xyz abc xyz", "12 abc--def  fed", "zzz"]
+    langs, scores, _ = langid.predict(probes, model)
+    for t, lang, score in zip(probes, langs, scores, strict=True):
+        own = {k: math.sqrt(n) * float(idf[k]) for k, n in grams(t).items()}
+        length = math.sqrt(sum(x * x for x in own.values()))
+        cosines = [sum(x * float(c[k]) for k, x in own.items()) / length for c in centroids]
+        best = max(range(12), key=lambda j: (cosines[j], -j))
+        assert lang == "abc"[best // 4] and score == pytest.approx(cosines[best], abs=2e-5)
+
+
 def test_language_vectors():
     one, two = langid.counts(["Ab1 2c"]), langid.counts(["zz", "Ab1 2c"])
     assert (one[0] == two[1]).all() and langid.counts([""]).sum() == 0

@@ -520,6 +520,8 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
 
     Documents without a word stay; of rows with equal id and text one stays, of equal texts without an id too, if they have words.
     """
+    names = docs.columns
+    docs = docs.toDF(*(c if c in ("doc_id", "text") else f"column_{i}" for i, c in enumerate(names)))
     rows, join = labelled(docs, words, percent)
     groups, _ = stored(rows, "jaccard-groups")
     join.done()
@@ -529,7 +531,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     # ids that name one row decide by themselves; the other rows' classes are looked at
     several = groups.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id")
     if groups.where("doc_id is null").isEmpty() and several.isEmpty():
-        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).toDF(*names)
     out = docs.join(kept.join(several, "doc_id", "left_anti"), "doc_id", "left_semi").select(*docs.columns)
     unsure = docs.join(several, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
     schema = StructType([*unsure.schema.fields, StructField("_n", LongType()), StructField("_cls", LongType())])
@@ -538,7 +540,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     wordless = wordless.where("doc_id is null").union(wordless.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
     chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("cls").alias("_own"))
     found = unsure.where("_n > 0").join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_cls") == F.col("_own")), "left_semi").dropDuplicates(["doc_id", "_cls"])
-    return out.union(wordless.select(*docs.columns)).union(found.select(*docs.columns))
+    return out.union(wordless.select(*docs.columns)).union(found.select(*docs.columns)).toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
