@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-DEFAULT_TABLES = "/opt/tokenizers"
+BATCH_BYTES = 4 << 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -94,6 +94,30 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
     trim()
 
 
+def merged(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """``slices``, with small ones put together over batches."""
+    import pyarrow.compute as pc
+
+    waiting, held = [], 0
+    for whole in batches:
+        for part in slices(whole, column, most):
+            size = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+            if waiting and held + size > most:
+                yield pa.concat_batches(waiting)
+                waiting, held = [], 0
+            waiting.append(part)
+            held += size
+    if waiting:
+        yield pa.concat_batches(waiting)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Python workers get a few MB at a time in place of up to 64, which several workers and the JVM beside them would hold each."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "").lower() in ("67108864b", "67108864", "64mb"):  # the default; another choice stands
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column as one array, and where each row's begin (one more at the end)."""
     if not len(column):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+from tidewater.llm._common import small_batches
+
 #: query -> module with ``query`` and, where SQL can say it, ``ORACLE``
 MODULES = {
     "op1_sum_of_squares_packing": "packing",
@@ -23,8 +25,16 @@ def _modules():
     return {name: importlib.import_module(f"tidewater.llm.{module}") for name, module in MODULES.items()}
 
 
+def _query(module):
+    def run(spark, sf_dir):
+        small_batches(spark)
+        return module.query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {name: module.query for name, module in _modules().items()}
+    return {name: _query(module) for name, module in _modules().items()}
 
 
 def oracle_sql() -> dict[str, str]:

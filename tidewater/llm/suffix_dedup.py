@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm._common import mix, shuffle_partitions, slices, table, text_bytes
+from tidewater.llm._common import merged, mix, shuffle_partitions, slices, table, text_bytes
 
 LENGTH, GRAM = 100, 32
 SLICE = 2 << 20
@@ -114,42 +114,41 @@ def merged(x: np.ndarray, y: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in slices(whole, "text", SLICE):
-            k1, k2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
-            raw, at = text_bytes(batch.column("text"))
-            pieces = [(raw, at, 0)]
-            if batch.num_rows == 1 and len(raw) > SLICE:
-                pieces = [(part := raw[a : a + SLICE + LENGTH - 1], np.array([0, len(part)]), a) for a in range(0, len(raw), SLICE)]
-            order = np.lexsort((k2, k1))
-            opens = np.ones(len(order), bool)  # equal rows are one document: they share a rank
-            opens[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.cumsum(opens) - 1
-            order = order[opens]
-            for part, begins, shift in pieces:
-                found = spans(part, begins)
-                if found is None:
-                    continue
-                doc, first, last, anchor, h1, h2 = found
-                s = first - begins[doc] + shift
-                place = rank[doc] << np.int64(40) | s
-                by = np.lexsort((place, h2, h1))
-                again, twice = np.zeros(len(by), bool), np.zeros(len(by), bool)
-                again[1:] = (h1[by][1:] == h1[by][:-1]) & (h2[by][1:] == h2[by][:-1])
-                twice[1:] = again[1:] & (place[by][1:] == place[by][:-1])  # the same span, of an equal row
-                keep, gone = by[~again], by[again & ~twice]
-                gone = gone[np.argsort(place[gone], kind="stable")]
-                x, y, own = merged(s[gone], s[gone] + (last - first)[gone] + LENGTH, rank[doc[gone]])
-                own = order[own]
-                packed = s << np.int64(16) | (last - first) << np.int64(8) | (anchor - first)
-                route = mix(k1[own].astype(np.uint64) + mix(k2[own].astype(np.uint64)))
-                columns = (
-                    np.concatenate([h1[keep], route]).view(np.int64), np.concatenate([h2[keep], np.zeros(len(own), np.uint64)]).view(np.int64),
-                    np.concatenate([k1[doc[keep]], k1[own]]), np.concatenate([k2[doc[keep]], k2[own]]),
-                    np.concatenate([packed[keep], x]), np.concatenate([np.zeros(len(keep), np.int64), y]),
-                )
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["h1", "h2", "k1", "k2", "at", "upto"])
+    for batch in merged(batches, "text", SLICE):
+        k1, k2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
+        raw, at = text_bytes(batch.column("text"))
+        pieces = [(raw, at, 0)]
+        if batch.num_rows == 1 and len(raw) > SLICE:
+            pieces = [(part := raw[a : a + SLICE + LENGTH - 1], np.array([0, len(part)]), a) for a in range(0, len(raw), SLICE)]
+        order = np.lexsort((k2, k1))
+        opens = np.ones(len(order), bool)  # equal rows are one document: they share a rank
+        opens[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(opens) - 1
+        order = order[opens]
+        for part, begins, shift in pieces:
+            found = spans(part, begins)
+            if found is None:
+                continue
+            doc, first, last, anchor, h1, h2 = found
+            s = first - begins[doc] + shift
+            place = rank[doc] << np.int64(40) | s
+            by = np.lexsort((place, h2, h1))
+            again, twice = np.zeros(len(by), bool), np.zeros(len(by), bool)
+            again[1:] = (h1[by][1:] == h1[by][:-1]) & (h2[by][1:] == h2[by][:-1])
+            twice[1:] = again[1:] & (place[by][1:] == place[by][:-1])  # the same span, of an equal row
+            keep, gone = by[~again], by[again & ~twice]
+            gone = gone[np.argsort(place[gone], kind="stable")]
+            x, y, own = merged(s[gone], s[gone] + (last - first)[gone] + LENGTH, rank[doc[gone]])
+            own = order[own]
+            packed = s << np.int64(16) | (last - first) << np.int64(8) | (anchor - first)
+            route = mix(k1[own].astype(np.uint64) + mix(k2[own].astype(np.uint64)))
+            columns = (
+                np.concatenate([h1[keep], route]).view(np.int64), np.concatenate([h2[keep], np.zeros(len(own), np.uint64)]).view(np.int64),
+                np.concatenate([k1[doc[keep]], k1[own]]), np.concatenate([k2[doc[keep]], k2[own]]),
+                np.concatenate([packed[keep], x]), np.concatenate([np.zeros(len(keep), np.int64), y]),
+            )
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["h1", "h2", "k1", "k2", "at", "upto"])
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
