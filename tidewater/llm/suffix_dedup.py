@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm._common import merged, mix, shuffle_partitions, slices, table, text_bytes
+from tidewater.llm._common import even_slices, mix, shuffle_partitions, slices, table, text_bytes
 
 LENGTH, GRAM = 100, 32
 SLICE = 2 << 20
@@ -114,7 +114,7 @@ def merged(x: np.ndarray, y: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in merged(batches, "text", SLICE):
+    for batch in even_slices(batches, "text", SLICE):
         k1, k2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
         raw, at = text_bytes(batch.column("text"))
         pieces = [(raw, at, 0)]
