@@ -114,7 +114,7 @@ def even_slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> It
 def small_batches(spark: SparkSession) -> None:
     """Let Python workers get a few MB at a time in place of up to 64, which several workers and the JVM beside them would hold each."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "").lower() in ("67108864b", "67108864", "64mb"):  # the default; another choice stands
+    if spark.conf.get(key).lower() in ("67108864b", "67108864", "64mb"):  # the default; another choice stands
         spark.conf.set(key, str(BATCH_BYTES))
 
 
