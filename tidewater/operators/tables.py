@@ -58,6 +58,9 @@ class TransportTable:
     def count(self) -> int:
         return self.df.count()
 
+    def is_empty(self) -> bool:
+        return self.df.isEmpty()
+
     def extend(self, **columns) -> TransportTable:
         return TransportTable(self.df.withColumns(columns), self.name, self.label)
 

@@ -155,18 +155,18 @@ def plan_override_order(spark, sf_dir):
 
 
 # (name, numeric, length, label) of a plan that breaks many rules
-BROKEN = [("AESEQ", True, 8, "Sequence"), ("lowercase1", True, 8, ""), ("ÉTAT", False, 250, "Événements indésirables très graves"), ("_OK1", False, 200, "x" * 40), ("9BAD", False, 1, "ok"), ("TOOLONGNAME", True, 8, "有害事象有害事象有害事象有")]
+BROKEN = [("AESEQ", True, 8, "Sequence"), ("lowercase1", True, 8, ""), ("ÉTAT", False, 250, "Températures relevées à l'été passé"), ("_OK1", False, 200, "x" * 40), ("9BAD", False, 1, "ok"), ("TOOLONGNAME", True, 8, "木火土金水日月木火土金水日")]
 
 
 def _broken():
     from tidewater.model import Plan, Variable
 
-    return Plan("aeé", "有害事象" * 4, tuple(Variable(n, num, size, label) for n, num, size, label in BROKEN)).laid_out()
+    return Plan("aeé", "木火土金" * 4, tuple(Variable(n, num, size, label) for n, num, size, label in BROKEN)).laid_out()
 
 
 def _issues_sql(agency: str | None) -> str:
     rows = ", ".join(f"({i + 1}, 'variable', '{n}', {str(num).lower()}, {size}, '{label}')" for i, (n, num, size, label) in enumerate(BROKEN))
-    base = f"with p(i, kind, name, num, len, label) as (values (0, 'dataset', 'aeé', null, null, '{'有害事象' * 4}'), {rows}), w as (select *, upper(kind[1]) || kind[2:] as word, strlen(name) as nb, strlen(label) as lb from p)"
+    base = f"with p(i, kind, name, num, len, label) as (values (0, 'dataset', 'aeé', null, null, '{'木火土金' * 4}'), {rows}), w as (select *, upper(kind[1]) || kind[2:] as word, strlen(name) as nb, strlen(label) as lb from p)"
     parts = [
         "select word || 'NameTooLong' as code, 'ERROR' as severity, kind, name from w where nb > 8",
         "select 'Missing' || word || 'Label', 'WARN', kind, name from w where label = '' and kind = 'variable'",
@@ -445,6 +445,92 @@ def float_vectors(spark, sf_dir):
     return rows.select(ibm.ibm_decode(F.col("a")).alias("low"), ibm.ibm_decode(F.col("b")).alias("high"), ibm.ibm_decode(F.col("c")).alias("third"))
 
 
+@query("select c_custkey as id, c_name as whole, 'a' || chr(65533) || 'b' as mended from customer")
+def text_of_bytes(spark, sf_dir):
+    rows = source(spark, sf_dir, "customer")
+    return rows.select(F.col("c_custkey").alias("id"), text.text_of_bytes(F.encode("c_name", "UTF-8")).alias("whole"), text.text_of_bytes(F.unhex(F.lit("61FF62"))).alias("mended"))
+
+
+# (name, numeric, length, label) of a plan that breaks the limits that the other one keeps; its name is long, it has no label and says that a row is shorter than it is
+LIMITS = [("HALFNUM", True, 4, "A number of four bytes"), ("NOTHING", False, 0, "No room for a value"), ("WORDY", False, 20, "This label goes on for longer than forty bytes do"), ("FINE", True, 8, "Nothing amiss")]
+
+
+@query(f"""with v(name, num, len, label) as (values {", ".join(f"('{n}', {str(num).lower()}, {size}, '{label}')" for n, num, size, label in LIMITS)}), d(name) as (values ('SHIPMENTS'))
+select 'DatasetNameTooLong' as code, 'ERROR' as severity, 'dataset' as target_kind, name as target from d where strlen(name) > 8 union all select 'MissingDatasetLabel', 'WARN', 'dataset', name from d
+union all select 'AgencyDatasetNameTooLong', 'ERROR', 'dataset', name from d where strlen(name) > 8 union all select 'DatasetNamePatternMismatch', 'ERROR', 'dataset', name from d where not regexp_full_match(name, '[A-Z][A-Z0-9]{{0,7}}')
+union all select 'DatasetNameFileStemMismatch', 'ERROR', 'dataset', name from d where lower(name) <> 'parcels'
+union all select 'VariableLabelTooLong', 'ERROR', 'variable', name from v where strlen(label) > 40 union all select 'AgencyLabelTooLong', 'ERROR', 'variable', name from v where strlen(label) > 40
+union all select 'NumericWrongLength', 'ERROR', 'variable', name from v where num and len <> 8 union all select 'CharacterLengthTooShort', 'ERROR', 'variable', name from v where not num and len < 1
+union all select 'RowLenInconsistent', 'ERROR', null, null from (select sum(len) as total from v) where total <> 30""")
+def issues_limits(spark, sf_dir):
+    import dataclasses
+
+    from tidewater.model import Plan, Variable
+
+    plan = Plan("SHIPMENTS", None, tuple(Variable(n, num, size, label) for n, num, size, label in LIMITS)).laid_out()
+    plan = dataclasses.replace(plan, row_bytes=30)
+    return rules.issue_frame(spark, rules.validate(plan, rules.FDA, "/data/parcels.xpt")).select("code", "severity", "target_kind", "target")
+
+
+@query("select c_custkey::double as CUSTKEY, rpad(c_mktsegment, (select max(strlen(c_mktsegment)) from customer)::int, ' ') as SEGMENT from customer")
+def preserve_blanks(spark, sf_dir):
+    df = short(spark, sf_dir, "customer").select("CUSTKEY", "SEGMENT")
+    return tables.read(spark, written(spark, df, "cust"), preserveBlanks=True).df
+
+
+@query("select '15JUN24:14:30:45' as created, timestamp '2024-06-15 14:30:45' as parsed")
+def header_stamps(spark, sf_dir):
+    found = tables.inspect(written(spark, short(spark, sf_dir, "nation"), "nation"))
+    return spark.createDataFrame([(found.created, dates.parse_header_stamp(found.created))], "created string, parsed timestamp_ntz")
+
+
+@query("select 'NATION' as name, count(*) as n_rows, 3 as n_columns from nation union all select 'REGION', count(*), 2 from region")
+def folder_of_files(spark, sf_dir):
+    """Each file of a folder by its stem."""
+    folder = scratch(spark, "folder")
+    region = source(spark, sf_dir, "region").select(F.col("r_regionkey").alias("KEY"), F.col("r_name").alias("NAME"))
+    for name, df in (("nation", short(spark, sf_dir, "nation")), ("region", region)):
+        tables.writer(tables.TransportTable(df, name.upper(), name), created=WHEN).finalize().write_path(f"{folder}/{name}.xpt")
+    found = tables.batch_folder(spark, folder)
+    return spark.createDataFrame([(t.name, t.count(), len(t)) for t in found.values()], "name string, n_rows long, n_columns int")
+
+
+@query("select (9 * 80 + ceil(3 * 140 / 80.0) * 80 + ceil(count(*) * (16 + max(strlen(n_name))) / 80.0) * 80)::bigint as bytes, false as empty from nation")
+def file_as_bytes(spark, sf_dir):
+    table = tables.TransportTable(short(spark, sf_dir, "nation"), "NATION", "Nations")
+    return spark.createDataFrame([(len(tables.writer(table, created=WHEN).finalize().to_bytes()), table.is_empty())], "bytes long, empty boolean")
+
+
+@query("select * from (values (0, 'NKEY', 'NKEY (Numeric)'), (1, 'NNAME', 'NNAME (Character)'), (2, 'RKEY', 'RKEY (Numeric)')) v(place, name, described)")
+def column_names(spark, sf_dir):
+    t = tables.read(spark, written(spark, short(spark, sf_dir, "nation"), "nation"))
+    return spark.createDataFrame([(i, n, t.describe_column(n)) for i, n in enumerate(t.names())], "place int, name string, described string")
+
+
+@query("""select count(*) as n_rows, count(distinct (l_orderkey, l_linenumber)) as n_distinct, sum(l_quantity) as sum_qty, min(l_orderkey)::double as first_key, max(l_orderkey)::double as last_key, 0::bigint as out_of_order from lineitem""")
+def split_ordered(spark, sf_dir):
+    """lineitem in order over many files: every row once, and the files one after the other in order."""
+    df = short(spark, sf_dir, "lineitem").select("ORDKEY", "LINENO", "QTY")
+    path = f"{scratch(spark, 'ordered')}/line.xpt"
+    made = tables.writer(tables.TransportTable(df, "LINE", "Lines"), created=WHEN, order_by=["ORDKEY", "LINENO"]).max_file_size_gb((1 << 18) / sizes.GIB).finalize()
+    paths = made.write_path(path)
+    found = [tables.read(spark, p).df.withColumn("file", F.lit(i)) for i, p in enumerate(paths)]
+    rows = found[0]
+    for other in found[1:]:
+        rows = rows.union(other)
+    edges = rows.groupBy("file").agg(F.min(F.struct("ORDKEY", "LINENO")).alias("low"), F.max(F.struct("ORDKEY", "LINENO")).alias("high"))
+    wrong = edges.alias("a").join(edges.alias("b"), F.expr("b.file = a.file + 1 and b.low <= a.high")).agg(F.count("*").alias("out_of_order"))
+    sums = rows.agg(F.count("*").alias("n_rows"), F.countDistinct("ORDKEY", "LINENO").alias("n_distinct"), F.sum("QTY").alias("sum_qty"), F.min("ORDKEY").alias("first_key"), F.max("ORDKEY").alias("last_key"))
+    return sums.withColumn("one", F.lit(1)).join(wrong.withColumn("one", F.lit(1)), "one").drop("one")  # a row each
+
+
+@query("""select 'SEND' as kind, * from (values ('LI', 'ORDKEY', 'Num', 1), ('LI', 'LINENO', 'Num', 2), ('LI', 'RETFLAG', 'Num', 3), ('LI', 'COMMENT', 'Char', 4), ('LI', 'QTY', 'Num', 5), ('NA', 'NKEY', 'Num', 1), ('NA', 'NNAME', 'Char', 0)) v(dataset, name, type, "order")
+union all select 'ADAM', * from (values ('LI', 'ORDKEY', 'Num', 1), ('LI', 'LINENO', 'Num', 2), ('LI', 'RETFLAG', 'Num', 3), ('LI', 'COMMENT', 'Char', 4), ('LI', 'QTY', 'Num', 5), ('NA', 'NKEY', 'Num', 6), ('NA', 'NNAME', 'Char', 7)) v(dataset, name, type, "order")""")
+def other_standards(spark, sf_dir):
+    found = [standards.load_standard(spark, sample_standard.write_sample(scratch(spark, "standard"), kind)).variables.select(F.lit(kind).alias("kind"), "dataset", "name", "type", "order") for kind in ("SEND", "ADAM")]
+    return found[0].union(found[1])
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xpt_aggregate_lineitem(spark, sf_dir)
 

@@ -19,7 +19,7 @@ def write_sample(folder: str, publishing_set: str = "SDTM") -> str:
     adam = publishing_set.upper() == "ADAM"
     with open(f"{folder}/{'DataStructures' if adam else 'Datasets'}.csv", "w", newline="", encoding="utf-8-sig") as f:
         out = csv.writer(f, quoting=csv.QUOTE_ALL)
-        out.writerow(["Version", "Data Structure Name", "Data Structure Description", "Class", "Subclass", "CDISC Notes"] if adam else ["Version", "Class", "Dataset Name", "Dataset Label", "Structure"])
+        out.writerow([f"c{i}" for i in range(6 if adam else 5)])
         for name, label in (("LI", "Line Items"), ("NA", "Nations")):
             out.writerow(["v", name, label, "FINDINGS", "One record per row", ""] if adam else ["v", "Findings", name, label, "One record per row"])
     with open(f"{folder}/Variables.csv", "w", newline="") as f:
