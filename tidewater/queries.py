@@ -155,7 +155,7 @@ def plan_override_order(spark, sf_dir):
 
 
 # (name, numeric, length, label) of a plan that breaks many rules
-BROKEN = [("AESEQ", True, 8, "Sequence"), ("lowercase1", True, 8, ""), ("ÉTAT", False, 250, "Températures relevées à l'été passé"), ("_OK1", False, 200, "x" * 40), ("9BAD", False, 1, "ok"), ("TOOLONGNAME", True, 8, "木火土金水日月木火土金水日")]
+BROKEN = [("AESEQ", True, 8, "Sequence"), ("lowercase1", True, 8, ""), ("ÉTAT", False, 250, "Températures relevées cet été passé"), ("_OK1", False, 200, "x" * 40), ("9BAD", False, 1, "ok"), ("TOOLONGNAME", True, 8, "木火土金水日月木火土金水日")]
 
 
 def _broken():
