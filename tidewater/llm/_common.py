@@ -80,6 +80,12 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; at their end ``trim``, as the worker may stay idle beside others."""
+    yield from batches
+    trim()
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``most`` bytes of text, so that arrays stay small."""
     import pyarrow.compute as pc

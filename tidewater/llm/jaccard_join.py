@@ -40,14 +40,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidewater.llm._common import drop_stored, mix, release, shuffle_partitions, slices, stored, table, text_bytes, trim
+from tidewater.llm._common import drop_stored, mix, release, shuffle_partitions, slices, stored, table, text_bytes, trim, trimmed
 from tidewater.llm.components import connected_components
 
 WORDS, PERCENT = 4, 85
 FREQUENT, LEAST_DF, LOW_BITS = 1 << 19, 8, 2
 BUCKET = 12  # shingles of a set for each bucket of combinations
 SKETCH = 512
-SLICE = 2 << 20
+SLICE, WINDOW = 2 << 20, 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -79,10 +79,16 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last = ink.copy()
     last[:-1] &= ~ink[1:] | begins[1:n]
     a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = powers(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE[LOWER[raw]] * up, out=total[1:])
-    words = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64) * PLACE[15])
+    words, x = np.empty(len(a), np.uint64), 0
+    while x < len(a):  # a hash does not depend on where its window begins
+        y = max(x + 1, int(np.searchsorted(b, a[x] + WINDOW, "right")))
+        from_, upto = int(a[x]), int(b[y - 1])
+        up, down = powers(upto - from_)
+        total = np.zeros(upto - from_ + 1, np.uint64)
+        np.cumsum(BYTE[LOWER[raw[from_:upto]]] * up, out=total[1:])
+        p, q = a[x:y] - from_, b[x:y] - from_
+        words[x:y] = mix((total[q] - total[p]) * down[p] + (q - p).astype(np.uint64) * PLACE[15])
+        x = y
     return words, np.diff(np.searchsorted(a, at))
 
 
@@ -447,7 +453,7 @@ class Join:
         bits, words, percent = self.bits, self.words, self.percent
         rows = self.docs.mapInArrow(lambda b: _prefixes(b, shared, bits, words, percent), "token long, n long, cls long")
         rows = rows.repartition(self.n, "token").sortWithinPartitions("token", "n", "cls")
-        return self.keep(rows.mapInArrow(_posted, "token long, n long, cls long"), "jaccard-postings")
+        return self.keep(rows.mapInArrow(lambda x: trimmed(_posted(x)), "token long, n long, cls long"), "jaccard-postings")
 
     def sorted_lists(self, rows: DataFrame) -> DataFrame:
         return rows.repartition(self.n, "token").sortWithinPartitions("token", "n", "cls")
@@ -456,7 +462,7 @@ class Join:
         """Of pairs (a, b), those whose sets are similar."""
         words, percent = self.words, self.percent
         of = lambda s: self.classes.select(F.col("cls").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
-        pairs = pairs.distinct().join(of("a"), "a").join(of("b"), "b").mapInArrow(lambda x: _unproven(x, percent), "a long, b long")
+        pairs = pairs.distinct().join(of("a"), "a").join(of("b"), "b").mapInArrow(lambda x: trimmed(_unproven(x, percent)), "a long, b long")
         pairs = self.keep(pairs, f"{name}-candidates")
         wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(self.classes.select("cls", "doc_id"), "cls")
         texts = self.docs.join(wanted, self.docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "cls")
@@ -471,7 +477,7 @@ class Join:
         rows = postings.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         open_lists = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
         rows = rows.join(open_lists, "token", "left_semi").join(self.classes.select("cls", "sketch"), "cls")
-        return self.sorted_lists(rows.select("token", "n", "cls", "label", "sketch")).mapInArrow(lambda x: _across(x, percent, everything), "a long, b long, token long")
+        return self.sorted_lists(rows.select("token", "n", "cls", "label", "sketch")).mapInArrow(lambda x: trimmed(_across(x, percent, everything)), "a long, b long, token long")
 
     def done(self) -> None:
         for path in self.paths[1:]:
@@ -490,7 +496,7 @@ def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tup
     """(doc_id, n, cls, label) of each row: its class and what names the component."""
     join = Join(docs, words, percent)
     postings = join.postings()
-    stars = join.sorted_lists(postings).mapInArrow(lambda x: _stars(x, percent), "a long, b long")
+    stars = join.sorted_lists(postings).mapInArrow(lambda x: trimmed(_stars(x, percent)), "a long, b long")
     links = join.similar(stars, "jaccard-1")
     labels, path = connected_components(links)
     join.paths.append(path)
