@@ -121,14 +121,15 @@ def _blank_rows(spark: SparkSession, files: list[str], members: list[Member]) ->
     return {f: next((x for k, x in hits if k == i), m.rows) for i, (f, m) in enumerate(zip(files, members, strict=True))}
 
 
-def read(spark: SparkSession, path: str, **options: object) -> TransportTable:
-    """The first member, or the one named by ``member``; path may be a pattern for the parts of one table.
+def read(spark: SparkSession, path: str | list[str], **options: object) -> TransportTable:
+    """The first member, or the one named by ``member``; path may be a pattern for the parts of one table, or a list of them.
 
+    However many files there are, they are one scan; option ``fileId`` gives each row the place of its file among them (``_file_id``, from 0).
     The driver reads headers only; what needs a look at the rows (further members of large files, blank rows that end a table) is left to tasks.
     """
     register(spark)
     options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()}
-    files = storage.matching(path)
+    files = storage.matching(path) if isinstance(path, str) else list(path)
     places = find_members(spark, files)
     bare = options.get("bareFormats") == "true"
     stop = options.get("blankRows") == "stop"
@@ -144,8 +145,10 @@ def read(spark: SparkSession, path: str, **options: object) -> TransportTable:
         options["places"] = json.dumps(places)
     if stop:
         options["stops"] = json.dumps(_blank_rows(spark, files, members))
+    if not isinstance(path, str):
+        options["files"] = json.dumps(files)
     reader = spark.read.format("transport").options(**options)
-    return TransportTable(reader.load(path), members[0].plan.name, members[0].plan.label)
+    return TransportTable(reader.load(path if isinstance(path, str) else files[0]), members[0].plan.name, members[0].plan.label)
 
 
 def read_all(spark: SparkSession, path: str, **options: object) -> list[TransportTable]:
@@ -226,7 +229,8 @@ class ValidatedWrite:
                         n = [assemble(shared.value[0][k], plan, stamps, shared.value[1][k]) for k in batch.column(0).to_pylist()]
                         yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["n"])
 
-                made = spark.range(0, len(files), 1, min(len(files), TASKS)).mapInArrow(put_together, "n long").agg(F.sum("n")).first()[0]
+                tasks = max(4 * spark.sparkContext.defaultParallelism, rows * plan.row_bytes // SMALL)
+                made = spark.range(0, len(files), 1, min(len(files), tasks, TASKS)).mapInArrow(put_together, "n long").agg(F.sum("n")).first()[0]
                 shared.destroy()
             if made != rows:
                 raise CorruptError(f"{made} of {rows} rows are in the files")

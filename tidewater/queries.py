@@ -243,12 +243,7 @@ def _split_files(spark, sf_dir) -> list[str]:
 
 @query("""select c_custkey::double as CUSTKEY, nullif(rtrim(c_name), '') as NAME, c_nationkey::double as NATKEY, c_acctbal as ACCTBAL, nullif(rtrim(c_mktsegment), '') as SEGMENT from customer""")
 def split_roundtrip(spark, sf_dir):
-    paths = _split_files(spark, sf_dir)
-    found = [tables.read(spark, p) for p in paths]
-    whole = found[0]
-    for part in found[1:]:
-        whole = whole.append(part)
-    return whole.df
+    return tables.read(spark, _split_files(spark, sf_dir)).df
 
 
 @query("""with t as (select count(*) as n, 24 + max(strlen(c_name)) + max(strlen(c_mktsegment)) as row_bytes from customer), m as (select n, row_bytes, floor(floor((16384 - 720 - 720) / 80) * 80 / row_bytes)::bigint as most from t)

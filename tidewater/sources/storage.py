@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import fnmatch
 import os
+import re
 from collections.abc import Iterator
 
 from pyarrow import fs
@@ -65,14 +66,15 @@ def remove_folder(path: str) -> None:
 
 
 def matching(path: str) -> list[str]:
-    """The files of a folder that a pattern in the last part of the path matches, in order; the path itself if none."""
+    """The files of a folder that a pattern in the last part of the path matches, in order (numbers by value: _999, _1000); the path itself if none."""
     path = local_path(path)
     folder, slash, name = path.rpartition("/")
     if not any(c in name for c in "*?["):
         return [path]
     store, inner = store_of(folder or (slash or "."))
     found = store.get_file_info(fs.FileSelector(inner, allow_not_found=True))
-    names = sorted(x.base_name for x in found if x.type == fs.FileType.File and fnmatch.fnmatchcase(x.base_name, name))
+    names = [x.base_name for x in found if x.type == fs.FileType.File and fnmatch.fnmatchcase(x.base_name, name)]
+    names.sort(key=lambda n: ([int(x) if k % 2 else x for k, x in enumerate(re.split(r"([0-9]+)", n))], n))
     return [f"{folder}{slash}{n}" for n in names] or [path]
 
 

@@ -10,7 +10,8 @@ Writing: tasks encode their rows to part files beside the target, once. On commi
 Paths are ones that driver and executors reach alike (``tidewater.sources.storage``). Timestamps with a zone are written as the session's local time.
 
 Options to read: member, columns, textMode (lossy, strict, latin1), preserveBlanks, blankRows (trailing, stop), rowLimit,
-mode (PERMISSIVE, FAILFAST), specialMissing, bareFormats, rowsPerPartition, rowId, pushFilters.
+mode (PERMISSIVE, FAILFAST), specialMissing, bareFormats, rowsPerPartition, rowId, fileId, pushFilters.
+Of many files, the driver reads the headers of the first and of those over ``SHARE`` bytes only; smaller ones go to tasks whole, several to each.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ from tidewater.sources.headers import Catalogue, Member, header_bytes, member_pl
 ROWS = 1 << 17  # of a partition, by default about 16 MB of rows at 128 bytes
 BATCH = 1 << 14
 SEARCH = 64 << 20
+SHARE = 4 << 20  # of small files that one task reads
 MANIFEST = "manifest.json"
 
 
@@ -67,13 +69,22 @@ def field_of(v) -> T.StructField:
 
 
 @dataclass
-class Rows(InputPartition):
-    """A run of rows of one file."""
+class Rows:
+    """A run of rows of one file, laid out as the reader's ``plans[plan]``; or a whole file (``count`` -1), whose headers the task reads."""
 
     path: str
-    start: int
-    first: int
-    count: int
+    file: int  # which of the files
+    plan: int = -1
+    start: int = 0
+    first: int = 0
+    count: int = -1
+
+
+@dataclass
+class Share(InputPartition):
+    """What one task reads, in this order."""
+
+    runs: list[Rows]
 
 
 def _truth(options: dict, name: str) -> bool:
@@ -144,49 +155,96 @@ def holds(f: Filter, column: pa.Array) -> pa.Array:
     return pc.fill_null(COMPARISONS[type(f)](column, pa.scalar(f.value, column.type)), False)
 
 
+def find_member(path: str, options: dict) -> Member:
+    """The member that the options name, or the first."""
+    catalogue = inspect_file(path, _truth(options, "bareformats"), json.loads(options.get("places", "{}")).get(path))
+    if not catalogue.members:
+        raise CorruptError("no members")
+    wanted = options.get("member")
+    member = catalogue.find(wanted) if wanted else catalogue.members[0]
+    if member is None:
+        raise MemberNotFoundError(f"member not found: {wanted}")
+    return member
+
+
+def rows_to_read(path: str, m: Member, options: dict) -> int:
+    n = m.rows
+    if options.get("blankrows", "trailing") == "stop":
+        stops = json.loads(options.get("stops", "{}"))
+        n = stops[path] if path in stops else blank_row(path, m, 0, n)
+    if options.get("mode", "").upper() == "FAILFAST" and m.plan.row_bytes:
+        rest = (m.end - m.start) - n * m.plan.row_bytes
+        if any(raw.strip(b" ") for raw in storage.chunks(path, m.end - rest, m.end)):
+            raise CorruptError(f"{path}: the last row is incomplete")
+    return n
+
+
 class TransportReader(DataSourceReader):
-    def __init__(self, options: dict, files: list[str], members: list[Member], schema: T.StructType):
-        self.options, self.files, self.members, self.schema = options, files, members, schema
+    def __init__(self, options: dict, files: list[str], schema: T.StructType):
+        self.options, self.files, self.schema = options, files, schema
         self.filters: list[Filter] = []
-
-    def partitions(self) -> list[Rows]:
+        whole = len(files) > 1 and not {"rowlimit", "stops", "rowspartition", "rowsperpartition"} & options.keys()
+        self.sizes = [storage.size(f) for f in files] if whole else [SHARE + 1] * len(files)
+        #: None is left to tasks
+        self.members = [find_member(f, options) if not k or n > SHARE else None for k, (f, n) in enumerate(zip(files, self.sizes, strict=True))]
+        distinct: dict[bytes, int] = {}
+        self.layout = [-1 if m is None else distinct.setdefault(pickle.dumps(m.plan), len(distinct)) for m in self.members]
+        self.plans = [pickle.loads(p) for p in distinct]
+
+    def __getstate__(self) -> dict:
+        """What tasks need: shares name their files themselves."""
+        own = {k: v for k, v in self.__dict__.items() if k not in ("files", "sizes", "members", "layout")}
+        return own | {"options": {k: v for k, v in self.options.items() if k not in ("files", "path", "stops")}}
+
+    def partitions(self) -> list[Share]:
         step, left = int(self.options.get("rowspartition", self.options.get("rowsperpartition", ROWS))), int(self.options.get("rowlimit", 2**62))
-        stops = json.loads(self.options.get("stops", "{}"))
-        found = []
-        for path, m in zip(self.files, self.members, strict=True):
-            n = m.rows
-            if self.options.get("blankrows", "trailing") == "stop":
-                n = stops[path] if path in stops else blank_row(path, m, 0, n)
-            if self.options.get("mode", "").upper() == "FAILFAST" and m.plan.row_bytes:
-                rest = (m.end - m.start) - n * m.plan.row_bytes
-                if any(raw.strip(b" ") for raw in storage.chunks(path, m.end - rest, m.end)):
-                    raise CorruptError(f"{path}: the last row is incomplete")
-            n, left = min(n, left), left - min(n, left)
-            found += [Rows(path, m.start + a * m.plan.row_bytes, a, min(step, n - a)) for a in range(0, n, step)]
+        found: list[Share] = []
+        room = 0
+        for k, path in enumerate(self.files):
+            if self.sizes[k] <= SHARE:
+                if self.sizes[k] > room:
+                    found.append(Share([]))
+                    room = SHARE
+                found[-1].runs.append(Rows(path, k))
+                room -= self.sizes[k]
+                continue
+            m, room = self.members[k], 0
+            n = min(rows_to_read(path, m, self.options), left)
+            left -= n
+            found += [Share([Rows(path, k, self.layout[k], m.start + a * m.plan.row_bytes, a, min(step, n - a))]) for a in range(0, n, step)]
         return found
 
-    def read(self, partition: Rows | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Share | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # what Spark makes of no partition
             return
-        plan = self.members[self.files.index(partition.path)].plan
+        for run in partition.runs:
+            if run.count < 0:
+                m = find_member(run.path, self.options)
+                run = Rows(run.path, run.file, -1, m.start, 0, rows_to_read(run.path, m, self.options))
+                yield from self._decoded(run, m.plan)
+            else:
+                yield from self._decoded(run, self.plans[run.plan])
+
+    def _decoded(self, run: Rows, plan: Plan) -> Iterator[pa.RecordBatch]:
         names = self.schema.fieldNames()
         special, keep = _truth(self.options, "specialmissing"), _truth(self.options, "preserveblanks")
         fail = self.options.get("mode", "").upper() == "FAILFAST"
         decode = lambda rows, wanted: decode_rows(rows, plan, wanted, self.options.get("textmode", LOSSY), keep, special, fail)
-        with storage.open_input(partition.path) as f:
-            f.seek(partition.start)
-            for a in range(0, partition.count, BATCH):
-                n = min(BATCH, partition.count - a)
+        with storage.open_input(run.path) as f:
+            f.seek(run.start)
+            for a in range(0, run.count, BATCH):
+                n = min(BATCH, run.count - a)
                 raw = f.read(n * plan.row_bytes)
                 if len(raw) < n * plan.row_bytes:
-                    raise CorruptError(f"{partition.path}: ends within its rows")
-                rows, ids = as_rows(raw, plan), np.arange(partition.first + a, partition.first + a + n)
+                    raise CorruptError(f"{run.path}: ends within its rows")
+                rows, ids = as_rows(raw, plan), np.arange(run.first + a, run.first + a + n)
                 for own in self.filters:
                     name = own.attribute[0]
                     kept = holds(own, decode(rows, [name])[name]).to_numpy(zero_copy_only=False)
                     rows, ids = rows[kept], ids[kept]
                 columns = decode(rows, names)
                 columns["_row_id"] = pa.array(ids, pa.int64())
+                columns["_file_id"] = pa.array(np.full(len(ids), run.file, np.int32))
                 yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
 
@@ -194,7 +252,7 @@ class FilteringReader(TransportReader):
     """Filters that compare a column of the file with a value are applied to rows before their other columns are decoded."""
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        own = {v.name for m in self.members for v in m.plan.variables}
+        own = set.intersection(*({v.name for v in m.plan.variables} for m in self.members if m is not None))
         for f in filters:
             if isinstance(f, (*COMPARISONS, In, IsNull, IsNotNull)) and len(f.attribute) == 1 and f.attribute[0] in own:
                 self.filters.append(f)
@@ -354,35 +412,26 @@ class TransportSource(DataSource):
     def name(cls) -> str:
         return "transport"
 
-    def _members(self) -> tuple[list[str], list[Member]]:
-        files, places = storage.matching(self.options["path"]), json.loads(self.options.get("places", "{}"))
-        found = []
-        for path in files:
-            catalogue = inspect_file(path, _truth(self.options, "bareformats"), places.get(path))
-            if not catalogue.members:
-                raise CorruptError("no members")
-            wanted = self.options.get("member")
-            member = catalogue.find(wanted) if wanted else catalogue.members[0]
-            if member is None:
-                raise MemberNotFoundError(f"member not found: {wanted}")
-            found.append(member)
-        return files, found
+    def _files(self) -> list[str]:
+        return json.loads(self.options["files"]) if "files" in self.options else storage.matching(self.options["path"])
 
     def schema(self) -> T.StructType:
-        _, members = self._members()
+        member = find_member(self._files()[0], self.options)
         wanted = [c.strip() for c in self.options["columns"].split(",")] if "columns" in self.options else None
-        fields = [field_of(v) for v in members[0].plan.variables if wanted is None or v.name in wanted]
+        fields = [field_of(v) for v in member.plan.variables if wanted is None or v.name in wanted]
         if wanted:
             fields.sort(key=lambda f: wanted.index(f.name))
         if _truth(self.options, "specialmissing"):
             fields += [T.StructField(f"{f.name}__missing", T.StringType()) for f in fields if f.dataType == T.DoubleType()]
         if _truth(self.options, "rowid"):
             fields.append(T.StructField("_row_id", T.LongType()))
+        if _truth(self.options, "fileid"):
+            fields.append(T.StructField("_file_id", T.IntegerType()))
         return T.StructType(fields)
 
     def reader(self, schema: T.StructType) -> TransportReader:
         kind = FilteringReader if _truth(self.options, "pushfilters") else TransportReader
-        return kind(dict(self.options), *self._members(), schema)
+        return kind(dict(self.options), self._files(), schema)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> TransportWriter:
         return TransportWriter(dict(self.options), overwrite)
