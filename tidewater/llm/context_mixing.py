@@ -14,7 +14,7 @@ What is learned from the training texts, all of them whole:
 * passages, a table that grows with the corpus: at content-defined anchors (a hash of 8 bytes chooses one place in 128; 24 bytes are the context) the
   ``AHEAD`` bytes that most often follow, where two documents or more have them. Texts are joined with it by anchor; the ``HOT_PASSAGES`` most frequent
   are known to every task, so no anchor that is joined is more than its share;
-* the mixing weights, by online logistic regression over every ``WEIGHT_STEP``-th training text by hash, with each bit's own occurrence taken out of
+* the mixing weights, by online logistic regression over every training text, with each bit's own occurrence taken out of
   the counts; each task learns from its rows and the weights are averaged.
 
 Texts longer than ``PIECE`` bytes are read in pieces, whose contexts reach ``REACH`` bytes back; the map goes on.
@@ -42,7 +42,6 @@ ORDERS, HASHED, SLOT_BITS = (4, 6), 3, 20  # the third: previous word with the p
 PREDICTORS = HASHED + 3  # with order 2, the match and a constant
 TREES = 1024
 HOT, HELD_BYTES = 400_000, 32 << 20
-WEIGHT_STEP = 16
 PIECE, REACH, CHUNK = 1 << 18, 512, 1 << 15
 ANCHOR, EVERY_BITS, AHEAD, HOT_PASSAGES = 24, 7, 128, 1 << 14
 LONG = 4  # documents with a passage from which its match is of the surer kind
@@ -115,10 +114,13 @@ def _looked_up(less_zeros: int, less_ones: int) -> tuple[np.ndarray, np.ndarray]
     return np.log((ones + 0.3) / (zeros + 0.3)).ravel().astype(np.float32), np.searchsorted([0.5, 2.5, 16], total).astype(np.uint8)
 
 
-ODDS, SURE = _looked_up(0, 0)
-INPUT = (np.rint(ODDS * (SCALE / 4)) * 4 + SURE).astype(np.int16)
-#: by the turn that a bit took: its own occurrence is left out
-LEFT_OUT = _looked_up(1, 0), _looked_up(0, 1)
+def _inputs(odds: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    return (np.rint(odds * (SCALE / 4)) * 4 + sure).astype(np.int16)
+
+
+INPUT = _inputs(*_looked_up(0, 0))
+#: by the turn that a bit took (the high bit of 17): its own occurrence is left out
+LEFT_OUT = np.concatenate([_inputs(*_looked_up(1, 0)), _inputs(*_looked_up(0, 1))])
 
 
 class Symbols:
@@ -269,8 +271,11 @@ class Mixer:
             self.weights[-2], self.weights[-1] = 1.0, 0.0
         else:
             self.inputs = INPUT.take(tables)
-            #: weights of the hashed predictors and the constant by gate, as rows
-            self.rows = np.ascontiguousarray(np.concatenate([self.weights[1 : 1 + HASHED] / SCALE, self.weights[-1:]]).T).view(FOUR).ravel()
+        self.turned()
+
+    def turned(self) -> None:
+        """Weights of the hashed predictors and the constant by gate, as rows."""
+        self.rows = np.ascontiguousarray(np.concatenate([self.weights[1 : 1 + HASHED] / SCALE, self.weights[-1:]]).T).view(FOUR).ravel()
 
     def bits(self, symbols: Symbols, match: tuple[np.ndarray, np.ndarray] | None, leave_out: bool) -> Iterator[tuple]:
         """For each depth: the bytes that reach it, hashes for the map, turns, gates and the predictors' inputs (without a match, not its own)."""
@@ -281,14 +286,8 @@ class Mixer:
             guessed = code.begin.take(code.context(symbols.before, byte))
             state = state.copy()
         for depth, (which, node, turn, slots, spot) in enumerate(depths(symbols, code)):
-            if leave_out:
-                values = self.tables.take(slots)
-                one = turn.astype(bool)[:, None]
-                x = list(np.where(one, LEFT_OUT[1][0].take(values), LEFT_OUT[0][0].take(values)).T)
-                sure = np.where(one, LEFT_OUT[1][1].take(values), LEFT_OUT[0][1].take(values))
-            else:
-                x = self.inputs.take(slots)
-                sure = x & np.int16(3)
+            x = LEFT_OUT.take(self.tables.take(slots) | turn.astype(np.uint32)[:, None] << np.uint32(16)) if leave_out else self.inputs.take(slots)
+            sure = x & np.int16(3)
             gate = (sure[:, 0] + 4 * (sure[:, -1] > 0)).astype(np.intp)
             order2, pull = code.odds.take(node), None
             if match is not None:
@@ -314,17 +313,19 @@ class Mixer:
     def learn(self, symbols: Symbols, match: tuple[np.ndarray, np.ndarray] | None, heat: np.ndarray, seen: np.ndarray) -> None:
         """A step of online logistic regression for each depth; seen: bits of each gate so far."""
         for _, _, turn, gate, order2, x, pull in self.bits(symbols, match, True):
-            x = [order2, *x, np.zeros(len(turn), np.float32) if pull is None else pull]
-            mixed = self.weights[-1].take(gate) + sum(w.take(gate) * v for w, v in zip(self.weights, x, strict=False))
-            wrong = turn - 1 / (1 + np.exp(-np.clip(mixed, -30, 30)))
+            wrong = turn - 1 / (1 + np.exp(-np.clip(self.mixed(gate, order2, x, pull), -30, 30)))
             n = np.bincount(gate, minlength=GATES)
             step = np.zeros((PREDICTORS, GATES))
-            for k, v in enumerate(x):
-                step[k] = np.bincount(gate, wrong * v, GATES)
+            step[0] = np.bincount(gate, wrong * order2, GATES)
+            for k in range(HASHED):
+                step[1 + k] = np.bincount(gate, wrong * x[:, k], GATES) / SCALE
+            if pull is not None:
+                step[-2] = np.bincount(gate, wrong * pull, GATES)
             step[-1] = np.bincount(gate, wrong, GATES)
             step /= np.maximum(n, 1)
             heat += step * step
             self.weights = (self.weights + 0.05 * step / np.sqrt(heat + 1e-8)).astype(np.float32)
+            self.turned()
             seen += n
 
     def score(self, symbols: Symbols, match: tuple[np.ndarray, np.ndarray] | None, n: int, map_: np.ndarray | None = None) -> np.ndarray:
@@ -572,9 +573,8 @@ class Trained:
             tables[block * BLOCK // 2 : (block + 1) * BLOCK // 2] = np.frombuffer(packed, np.uint16)
         release(spark)
         start = spark.sparkContext.broadcast((code, tables))
-        sample = self.with_passages(docs.where(F.pmod(F.xxhash64("text"), F.lit(WEIGHT_STEP)) == 0))
         hot = self.hot_passages
-        learned = sample.mapInArrow(lambda b: _learned(b, start, hot), "predictor int, gate int, total double, n long").groupBy("predictor", "gate").agg(F.sum("total"), F.sum("n"))
+        learned = self.with_passages(docs).mapInArrow(lambda b: _learned(b, start, hot), "predictor int, gate int, total double, n long").groupBy("predictor", "gate").agg(F.sum("total"), F.sum("n"))
         weights = Mixer(code, tables).weights
         for k, g, total, n in learned.collect():
             weights[k, g] = total / n
