@@ -571,6 +571,7 @@ class Trained:
         tables = np.zeros(HASHED << SLOT_BITS, np.uint16)
         for block, packed in summed.toLocalIterator():
             tables[block * BLOCK // 2 : (block + 1) * BLOCK // 2] = np.frombuffer(packed, np.uint16)
+        del summed  # a plan that is held keeps its shuffle files
         release(spark)
         start = spark.sparkContext.broadcast((code, tables))
         hot = self.hot_passages
@@ -579,6 +580,7 @@ class Trained:
         for k, g, total, n in learned.collect():
             weights[k, g] = total / n
         start.destroy()
+        del learned
         release(spark)
         self.model = spark.sparkContext.broadcast((code, tables, weights))
         self.paths = [words_path, passages_path]
