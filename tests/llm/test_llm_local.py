@@ -4,6 +4,7 @@ import base64
 import math
 import random
 import string
+import types
 import zlib
 
 import numpy as np
@@ -356,6 +357,20 @@ def test_packed_counts():
     assert (got[:5] == n[:5]).all() and (got <= n).all() and (got[5:9] >= 0.94 * n[5:9]).all()
 
 
+def test_counts_of_bits():
+    """Each bit is counted once in each table, over buffers that fill up, and blocks survive being packed."""
+    code, text = small_code(), "some text, more often " * 60_000
+    batch = pa.RecordBatch.from_arrays([pa.array([text[: len(text) // 2], "", text[len(text) // 2 :]])], ["text"])
+    (got,) = context_mixing._table_blocks(iter([batch]), types.SimpleNamespace(value=code))
+    rows = [context_mixing.grown(x.as_buffer(), context_mixing.BLOCK) for x in got["packed"]]
+    total = np.zeros(context_mixing.HASHED, np.int64)
+    np.add.at(total, got["block"].to_numpy() // ((2 << context_mixing.SLOT_BITS) // context_mixing.BLOCK), [int(x.sum()) for x in rows])
+    raw, at = text_bytes(batch.column("text"))
+    bits = sum(int(code.length[code.context(s.before, s.raw)].sum()) for a, b in context_mixing.blocks(raw, at) for s, _ in context_mixing.pieces(raw, at, a, b))
+    assert bits > 1 << 22 and total.tolist() == [bits] * context_mixing.HASHED
+    assert context_mixing.grown(pa.py_buffer(context_mixing.shrunk(np.array([0, 255, 256, 2**32 - 1], np.uint32))), 4).tolist() == [0, 255, 256, 2**32 - 1]
+
+
 def random_mixer(code):
     rng = np.random.default_rng(1)
     tables = context_mixing.packed_counts(*rng.integers(0, 40, (2, context_mixing.HASHED << context_mixing.SLOT_BITS)))

@@ -365,6 +365,43 @@ def test_weights_are_learned_from_every_text(spark):
     assert not np.allclose(weights, context_mixing.Mixer(code, counts).weights)
 
 
+def test_mixing_shuffles_no_text(spark, monkeypatch):
+    """Before, learning and scoring each joined whole texts with their passages, which took more disk than there was."""
+    plans, whole = {}, context_mixing.stored
+
+    def stored(df, name, *more):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return whole(df, name, *more)
+
+    monkeypatch.setattr(context_mixing, "stored", stored)
+    context_mixing.query(spark, SMALL)
+    assert "Exchange" in plans["mixing-passages"] and "Exchange" not in plans["mixing-scored"]
+
+
+def test_passages_reach_the_texts_of_their_part(spark, monkeypatch):
+    """Whether tasks know passages beforehand or find them by part, in parts of any size, scores are the same."""
+    text = "repeat(concat(sha2(cast(id % 3 as string), 512), ' and ', sha2(cast(id % 3 + 5 as string), 512), ' '), 8)"
+    own = spark.range(0, 12, 1, 2).selectExpr("id as doc_id", "id = 4 as held_out", f"{text} as text")
+
+    def scores():
+        docs, _ = context_mixing.in_parts(own)
+        trained = context_mixing.Trained(docs.where("not held_out"), docs)
+        return docs.select("part").distinct().count(), trained.passages.count(), {r["doc_id"]: r["score"] for r in context_mixing.score(docs, trained).collect()}
+
+    hot, parts = context_mixing.HOT_PASSAGES, []
+    for part in (context_mixing.PART, 3000):
+        monkeypatch.setattr(context_mixing, "PART", part)
+        monkeypatch.setattr(context_mixing, "HOT_PASSAGES", hot)
+        known = scores()
+        monkeypatch.setattr(context_mixing, "HOT_PASSAGES", 0)
+        found = scores()
+        assert known[:2] == found[:2] and known[1] > 0 and known[2] == pytest.approx(found[2], rel=1e-6)
+        parts.append(known[0])
+    assert parts[0] < parts[1]
+    monkeypatch.setattr(context_mixing, "passages", lambda docs: spark.createDataFrame([], "key long, ahead binary, n long"))
+    assert scores()[2][4] < known[2][4] - 1
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     names, counts = docs.columns, [docs.count()]

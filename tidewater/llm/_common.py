@@ -44,14 +44,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/tidewater"
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def new_path(spark: SparkSession, name: str) -> str:
+    """Where a new table may be written in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, compression: str | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_path(spark, name)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def part_of_stored(path: str, column: str, value: int) -> pa.Table | None:
+    """On an executor: the rows of a table written by ``column`` that have this value, or None."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    from tidewater.sources.storage import store_of
+
+    store, at = store_of(f"{path}/{column}={value}")
+    if store.get_file_info(at).type == fs.FileType.NotFound:
+        return None
+    return pq.read_table(at, filesystem=store, partitioning=None, use_threads=False)
+
+
 def drop_stored(spark: SparkSession, path: str) -> None:
     """Delete a table of ``stored`` that nothing reads any more."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

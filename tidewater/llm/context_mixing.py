@@ -12,11 +12,14 @@ What is learned from the training texts, all of them whole:
 * word counts for the base score, by a shuffle, and triples of bytes for the trees;
 * counts of (context, node) pairs in hashed tables of fixed size (``SLOT_BITS``), summed by block;
 * passages, a table that grows with the corpus: at content-defined anchors (a hash of 8 bytes chooses one place in 128; 24 bytes are the context) the
-  ``AHEAD`` bytes that most often follow, where two documents or more have them. Texts are joined with it by anchor; the ``HOT_PASSAGES`` most frequent
-  are known to every task, so no anchor that is joined is more than its share;
+  ``AHEAD`` bytes that most often follow, where two documents or more have them. It is joined by anchor with the anchors of each part of the texts; the
+  ``HOT_PASSAGES`` most frequent are known to every task, so no anchor that is joined is more than its share;
 * the mixing weights, by online logistic regression over every training text, with each bit's own occurrence taken out of
   the counts; each task learns from its rows and the weights are averaged.
 
+No text is shuffled: the texts are written once to the shared folder, in parts of about ``PART`` bytes, and what the join finds for a part is a table of
+its own there, which the task that reads the part opens with pyarrow. Learning and scoring read the same parts.
+
 Texts longer than ``PIECE`` bytes are read in pieces, whose contexts reach ``REACH`` bytes back; the map goes on.
 
 Base score: the ``HOT`` most frequent words' counts are known to every task; the others are joined by word.
@@ -27,22 +30,26 @@ counts 0; repeated rows are counted and scored each; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tidewater.llm._common import drop_stored, mix, release, slices, stored, table, text_bytes
+from tidewater.llm._common import drop_stored, mix, new_path, part_of_stored, release, slices, stored, table, text_bytes
 
 ORDERS, HASHED, SLOT_BITS = (4, 6), 3, 20  # the third: previous word with the present one so far
 PREDICTORS = HASHED + 3  # with order 2, the match and a constant
 TREES = 1024
 HOT, HELD_BYTES = 400_000, 32 << 20
 PIECE, REACH, CHUNK = 1 << 18, 512, 1 << 15
+PART = 16 << 20
 ANCHOR, EVERY_BITS, AHEAD, HOT_PASSAGES = 24, 7, 128, 1 << 14
 LONG = 4  # documents with a passage from which its match is of the surer kind
 BLOCK = 1 << 14
@@ -52,6 +59,7 @@ TRUST = 6.0  # what a mixed prediction counts beside the bits seen
 SCALE = 1024  # of log odds in a table of inputs; their last two bits are the confidence
 PRIME = 0xD1342543DE82EF95
 INVERSE = pow(PRIME, -1, 1 << 64)
+NODE, SPREAD = np.array([0x9E3779B1, 0x85EBCA6B], np.uint32)[:, None]  # arrays, whose products wrap without a warning
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -69,7 +77,7 @@ class Code:
         self.tree[pairs] = 256 + np.arange(len(pairs))
         trees = 256 + len(pairs)
         self.length, self.odds = np.zeros((trees, 256), np.int8), np.zeros((trees, 255), np.float32)
-        node, turn = [], []
+        path = []
         for k, counts in enumerate((*single, *follow)):
             heap = [(int(c) + 1, b) for b, c in enumerate(counts)]
             heapq.heapify(heap)
@@ -85,14 +93,22 @@ class Code:
                     paths[child] = [*paths[255 + at], (at - 1, way)]
             self.length[k] = [len(paths[b]) for b in range(256)]
             steps = np.array([s for b in range(256) for s in paths[b]])
-            node.append((k * 255 + steps[:, 0]).astype(np.uint32))
-            turn.append(steps[:, 1].astype(np.uint8))
+            path.append((k * 255 + steps[:, 0] << 1 | steps[:, 1]).astype(np.uint32))
         self.length = self.length.ravel()
         self.begin = np.cumsum(self.length, dtype=np.intp) - self.length
-        self.node, self.turn = np.concatenate(node), np.concatenate(turn)
+        #: each step of each path: the node, and in the low bit the turn
+        self.path = np.concatenate(path)
         #: log odds of each node, from all training texts
         self.odds = self.odds.ravel()
 
+    @functools.cached_property
+    def node(self) -> np.ndarray:
+        return self.path >> np.uint32(1)
+
+    @functools.cached_property
+    def turn(self) -> np.ndarray:
+        return (self.path & np.uint32(1)).astype(np.uint8)
+
     def context(self, before: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """Where the codes of ``byte`` after each pair are in ``length`` and ``begin``."""
         return self.tree.take(before) << 8 | byte
@@ -147,18 +163,18 @@ class Symbols:
         if before is not None:
             whole[:lead] = before
         self.raw = whole[at_new]
-        wide = whole.astype(np.uint64)
-        back = wide[at_new - 1]
-        for k in (2, 3, 4, 5, 6):
-            back = back | wide[at_new - k] << np.uint64(8 * (k - 1))
+        back = before_each(whole).take(at_new)
         self.before = (back & np.uint64(0xFFFF)).astype(np.intp)  # the last byte is the low one
-        #: for each byte a hash for each hashed predictor, and one for the map
-        self.hashes = np.empty((len(at_new), HASHED + 1), np.uint32)
-        self.hashes[:, HASHED] = (back & np.uint64(0xFFFF)).astype(np.uint32) * np.uint32(0x9E3779B1)
-        for k, order in enumerate(ORDERS):
+        #: for each byte a hash for each hashed predictor, and one for the map, times SPREAD
+        self.hashes = []
+        for order in ORDERS:
             h = (back & np.uint64((1 << 8 * order) - 1)) + np.uint64(order)
-            h = (h ^ (h >> np.uint64(23))) * np.uint64(0x9E3779B97F4A7C15)
-            self.hashes[:, k] = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
+            h ^= h >> np.uint64(23)
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h >>= np.uint64(32)
+            self.hashes.append(h.astype(np.uint32) * SPREAD)
         blank = whole <= SPACE
         up, down = powers(len(whole))
         total = np.zeros(len(whole) + 1, np.uint64)
@@ -175,7 +191,8 @@ class Symbols:
         word = words[np.where(begin > 0, done[np.maximum(begin - 1, 0)], 0)]
         prefix = (total[at_new] - total[begin]) * down[begin]
         h = mix(prefix + word * np.uint64(PRIME) + (at_new - begin).astype(np.uint64))
-        self.hashes[:, HASHED - 1] = h >> np.uint64(32)
+        self.hashes.append((h >> np.uint64(32)).astype(np.uint32) * SPREAD)
+        self.hashes.append(self.before.astype(np.uint32) * (NODE * SPREAD))
 
 
 _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -188,28 +205,40 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-#: where each predictor's slots begin in the one table of all
-BEGIN = (np.arange(HASHED, dtype=np.uint32) << np.uint32(SLOT_BITS))[None, :]
-FOUR = np.complex128  # a row of four 32-bit values is taken as one of 16 bytes
+def before_each(whole: np.ndarray) -> np.ndarray:
+    """The eight bytes before each place as one number, the last one its low byte; spaces stand before the first."""
+    n = len(whole)
+    padded = np.concatenate([np.full(8, SPACE, np.uint8), whole])
+    out = np.empty(n, np.uint64)
+    for k in range(min(8, n)):
+        m = (n + 7 - k) // 8
+        out[k::8] = padded[k : k + 8 * m].view(">u8")
+    return out
 
 
-def depths(symbols: Symbols, code: Code) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each depth of the trees: the bytes that reach it, their nodes, turns, slots (bits x predictors) and hashes for the map."""
-    at = code.context(symbols.before, symbols.raw)
-    length, step = code.length.take(at), code.begin.take(at)
-    hashes = symbols.hashes.view(FOUR).ravel()
-    which, depth = np.arange(len(at)), 0
-    while len(which):
-        node = code.node.take(step)
-        all_ = hashes.take(which).view(np.uint32).reshape(-1, HASHED + 1)
-        all_ += (node * np.uint32(0x9E3779B1))[:, None]
-        all_ *= np.uint32(0x85EBCA6B)
-        slots = all_[:, :HASHED] >> np.uint32(32 - SLOT_BITS)
-        slots |= BEGIN
-        yield which, node, code.turn.take(step), slots, all_[:, HASHED]
-        depth += 1
-        on = np.flatnonzero(length.take(which) > depth)
-        which, step = which.take(on), step.take(on) + 1
+class Bits:
+    """The bits of some symbols by depth. Bytes with longer paths come first, so that each depth has a prefix of them."""
+
+    def __init__(self, symbols: Symbols, code: Code):
+        at = code.context(symbols.before, symbols.raw)
+        length = code.length.take(at)
+        self.code = code
+        #: places of the bytes in this order
+        self.order = np.argsort(-length, kind="stable")
+        self.step = code.begin.take(at.take(self.order))
+        self.hashes = [h.take(self.order) for h in symbols.hashes]
+        self.length = length
+        #: how many bytes reach each depth
+        self.reach = len(length) - np.cumsum(np.bincount(length))[:-1]
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
+        """For each depth: nodes, turns, the slots of each predictor in its own table, and hashes for the map."""
+        for depth, m in enumerate(self.reach.tolist()):
+            path = self.code.path.take(self.step[:m] + depth, mode="clip")
+            node = path >> np.uint32(1)
+            own = node * (NODE * SPREAD)
+            slots = [(h[:m] + own) >> np.uint32(32 - SLOT_BITS) for h in self.hashes[:HASHED]]
+            yield node, (path & np.uint32(1)).astype(np.uint8), slots, self.hashes[HASHED][:m] + own
 
 
 def anchors(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -274,54 +303,56 @@ class Mixer:
         self.turned()
 
     def turned(self) -> None:
-        """Weights of the hashed predictors and the constant by gate, as rows."""
-        self.rows = np.ascontiguousarray(np.concatenate([self.weights[1 : 1 + HASHED] / SCALE, self.weights[-1:]]).T).view(FOUR).ravel()
+        """Weights for inputs as the tables have them, a row for each gate."""
+        self.scaled = self.weights.T.copy()
+        self.scaled[:, 1 : 1 + HASHED] /= SCALE
 
     def bits(self, symbols: Symbols, match: tuple[np.ndarray, np.ndarray] | None, leave_out: bool) -> Iterator[tuple]:
-        """For each depth: the bytes that reach it, hashes for the map, turns, gates and the predictors' inputs (without a match, not its own)."""
-        code = self.code
+        """For each depth: hashes for the map, turns, gates (so many are in use) and the predictors' inputs as rows, in the order of ``Bits``, which comes first."""
+        code, own = self.code, Bits(symbols, self.code)
+        yield own
+        values = (self.tables if leave_out else self.inputs).reshape(HASHED, -1)
         if match is not None:
             # the predicted byte's path holds while all turns agree with it
             byte, state = match
-            guessed = code.begin.take(code.context(symbols.before, byte))
-            state = state.copy()
-        for depth, (which, node, turn, slots, spot) in enumerate(depths(symbols, code)):
-            x = LEFT_OUT.take(self.tables.take(slots) | turn.astype(np.uint32)[:, None] << np.uint32(16)) if leave_out else self.inputs.take(slots)
-            sure = x & np.int16(3)
-            gate = (sure[:, 0] + 4 * (sure[:, -1] > 0)).astype(np.intp)
-            order2, pull = code.odds.take(node), None
+            guessed = code.begin.take(code.context(symbols.before, byte).take(own.order))
+            state = state.take(own.order)
+        for depth, (node, turn, slots, spot) in enumerate(own):
+            x = np.empty((PREDICTORS, len(node)), np.float32)
+            x[0], x[-1], x[-2] = code.odds.take(node, mode="clip"), 1, 0
+            high = turn.astype(np.intp) << 16 if leave_out else None
+            for k, (v, slot) in enumerate(zip(values, slots, strict=True)):
+                got = v.take(slot.astype(np.intp), mode="clip")
+                if leave_out:
+                    got = LEFT_OUT.take(high | got, mode="clip")
+                x[1 + k] = got
+                if k == 0:
+                    gate = got & np.int16(3)
+            gate |= np.minimum(got & np.int16(3), np.int16(1)) << np.int16(2)
             if match is not None:
-                told = state.take(which)
+                told = state[: len(node)]
                 some = np.flatnonzero(told)
-                guess = code.turn.take(guessed.take(which.take(some)) + depth)
-                pull = np.zeros(len(which), np.float32)
-                pull[some] = 2 * guess.astype(np.float32) - 1
-                gate += 8 * told
-                wrong = some[guess != turn.take(some)]
-                state[which.take(wrong)] = 0
-            yield which, spot, turn, gate, order2, x, pull
-
-    def mixed(self, gate: np.ndarray, order2: np.ndarray, x: np.ndarray, pull: np.ndarray | None) -> np.ndarray:
-        rows = self.rows.take(gate).view(np.float32).reshape(-1, HASHED + 1)
-        out = self.weights[0].take(gate) * order2 + rows[:, HASHED]
-        for k in range(HASHED):
-            out += rows[:, k] * x[:, k]
-        if pull is not None:
-            out += self.weights[-2].take(gate) * pull
-        return out
+                guess = (code.path.take(guessed.take(some) + depth) & np.uint32(1)).astype(np.uint8)
+                x[-2, some] = 2 * guess.astype(np.float32) - 1
+                gate += told.astype(np.int16) << np.int16(3)
+                state[some[guess != turn.take(some)]] = 0
+            yield spot, turn, gate, GATES if match is not None else 8, x
+
+    def mixed(self, gate: np.ndarray, gates: int, x: np.ndarray) -> np.ndarray:
+        """Log odds: those of all gates, of which each bit's own is taken."""
+        out = self.scaled[:gates] @ x
+        return out.ravel().take(gate.astype(np.intp) * x.shape[1] + np.arange(x.shape[1]), mode="clip")
 
     def learn(self, symbols: Symbols, match: tuple[np.ndarray, np.ndarray] | None, heat: np.ndarray, seen: np.ndarray) -> None:
         """A step of online logistic regression for each depth; seen: bits of each gate so far."""
-        for _, _, turn, gate, order2, x, pull in self.bits(symbols, match, True):
-            wrong = turn - 1 / (1 + np.exp(-np.clip(self.mixed(gate, order2, x, pull), -30, 30)))
+        bits = self.bits(symbols, match, True)
+        next(bits)
+        for _, turn, gate, gates, x in bits:
+            wrong = turn - chance(self.mixed(gate, gates, x), 30)
             n = np.bincount(gate, minlength=GATES)
             step = np.zeros((PREDICTORS, GATES))
-            step[0] = np.bincount(gate, wrong * order2, GATES)
-            for k in range(HASHED):
-                step[1 + k] = np.bincount(gate, wrong * x[:, k], GATES) / SCALE
-            if pull is not None:
-                step[-2] = np.bincount(gate, wrong * pull, GATES)
-            step[-1] = np.bincount(gate, wrong, GATES)
+            step[:, :gates] = x @ np.where(gate == np.arange(gates, dtype=np.int16)[:, None], wrong, np.float32(0)).T
+            step[1 : 1 + HASHED] /= SCALE
             step /= np.maximum(n, 1)
             heat += step * step
             self.weights = (self.weights + 0.05 * step / np.sqrt(heat + 1e-8)).astype(np.float32)
@@ -331,39 +362,57 @@ class Mixer:
     def score(self, symbols: Symbols, match: tuple[np.ndarray, np.ndarray] | None, n: int, map_: np.ndarray | None = None) -> np.ndarray:
         """log10 probability of each of the n texts; map_: what earlier pieces of this text have left, [bucket, (zeros, ones)]."""
         cost = np.zeros(n)
-        begins = np.searchsorted(symbols.text, np.arange(n + 1))
         left = None if map_ is None else np.zeros_like(map_)
-        for which, spot, turn, gate, *inputs in self.bits(symbols, match, False):
-            p = 1 / (1 + np.exp(-np.clip(self.mixed(gate, *inputs), -14, 14)))
-            key = (spot >> np.uint32(18) << np.uint32(2) | (p * np.float32(3.999)).astype(np.uint32)).astype(np.uint16)
-            p = refined(p, turn, key, symbols.text.take(which), map_, left)
-            gain = np.cumsum(np.log(np.where(turn.view(bool), p, 1 - p)), dtype=np.float64)
-            cost += np.diff(np.append(0.0, gain).take(np.searchsorted(which, begins)))
+        bits = self.bits(symbols, match, False)
+        own = next(bits)
+        # text (13 bits), place (25) and turn, under a key of 16 bits: in a bucket by text, in the text by place
+        assert n < 1 << 13 and len(own.order) < 1 << 25
+        place = (symbols.text.take(own.order).astype(np.uint64) << np.uint64(25) | own.order.astype(np.uint64)) << np.uint64(1)
+        rank = np.empty(len(own.order), np.intp)
+        rank[own.order] = np.arange(len(own.order))
+        for spot, turn, gate, gates, x in bits:
+            p = chance(self.mixed(gate, gates, x), 14)
+            key = spot >> np.uint32(18) << np.uint32(2) | (p * np.float32(3.999)).astype(np.uint32)
+            p, turn, text = refined(p, key.astype(np.uint64) << np.uint64(39) | place[: len(p)] | turn, rank, map_, left)
+            cost += np.bincount(text, np.log(np.where(turn, p, 1 - p)), n)
         if map_ is not None:
             map_ += left
         return cost / np.log(10)
 
 
-def refined(p: np.ndarray, turn: np.ndarray, key: np.ndarray, own: np.ndarray, before: np.ndarray | None, left: np.ndarray | None) -> np.ndarray:
-    """p, drawn to the share of ones among the bits with the same key that came earlier in the same text."""
-    by = np.argsort(key, kind="stable")  # in a bucket: by text, in the text by place
-    bucket, text = key.take(by), own.take(by)
-    ones = turn.take(by)
-    opens = np.empty(len(by), bool)
-    opens[0] = True
-    np.not_equal(bucket[1:], bucket[:-1], out=opens[1:])
-    opens[1:] |= text[1:] != text[:-1]
-    first = np.flatnonzero(opens)
-    run = np.cumsum(opens) - 1
-    sums = np.cumsum(ones, dtype=np.int32)
-    n = (np.arange(len(by), dtype=np.int32) - first.astype(np.int32).take(run)).astype(np.float32)
-    n1 = (sums - ones - (sums.take(first) - ones.take(first)).astype(np.int32).take(run)).astype(np.float32)
+def chance(z: np.ndarray, most: float) -> np.ndarray:
+    """The probability that log odds stand for, these cut at ``most``."""
+    np.clip(z, -most, most, out=z)
+    np.negative(z, out=z)
+    np.exp(z, out=z)
+    z += 1
+    return np.reciprocal(z, out=z)
+
+
+def refined(p: np.ndarray, key: np.ndarray, rank: np.ndarray, before: np.ndarray | None, left: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """p, drawn to the share of ones among the bits with the same bucket that came earlier in the same text; turns and texts.
+
+    key: bucket, text, place and turn of each bit. The results are in the keys' order; rank: where in p a place is.
+    """
+    key.sort()
+    p = p.take(rank.take((key >> np.uint64(1) & np.uint64((1 << 25) - 1)).view(np.int64), mode="clip"), mode="clip")
+    ones = (key & np.uint64(1)).astype(np.int32)
+    text = key >> np.uint64(26)
+    first = np.flatnonzero(text[1:] != text[:-1])
+    first += 1
+    first = np.concatenate([[0], first])
+    size = np.diff(first, append=len(p))
+    earlier = np.cumsum(ones, dtype=np.int32) - ones
+    n1 = (earlier - np.repeat(earlier.take(first), size)).astype(np.float32)
+    n = (np.arange(len(p), dtype=np.int32) - np.repeat(first.astype(np.int32), size)).astype(np.float32)
     if before is not None:
+        bucket = (key >> np.uint64(39)).view(np.int64)
         n, n1 = n + before[bucket].sum(1), n1 + before[bucket, 1]
-        left += np.stack([np.bincount(key[turn == t], minlength=1 << 16) for t in (0, 1)], 1)
-    out = np.empty(len(by), np.float32)
-    out[by] = (n1 + np.float32(TRUST) * p.take(by)) / (n + np.float32(TRUST))
-    return out
+        left += np.stack([np.bincount(bucket[ones == t], minlength=1 << 16) for t in (0, 1)], 1)
+    n1 += np.float32(TRUST) * p
+    n += np.float32(TRUST)
+    n1 /= n
+    return n1, ones != 0, (text & np.uint64((1 << 13) - 1)).view(np.int64)
 
 
 def blocks(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -458,31 +507,54 @@ def made_code(triples: DataFrame) -> Code:
 
 def _table_blocks(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     code = shared.value
-    counts = np.zeros(2 * HASHED << SLOT_BITS, np.uint32)
+    counts = np.zeros((HASHED, 2 << SLOT_BITS), np.uint32)
+    held, places = 0, np.empty((HASHED, 1 << 22), np.uint32)
+
+    def add() -> None:
+        for own, at in zip(counts, places[:, :held], strict=True):
+            own += np.bincount(at, minlength=len(own)).astype(np.uint32)
+
     for whole in batches:
         for batch in slices(whole, "text"):
             raw, at = text_bytes(batch.column("text"))
             for a, b in blocks(raw, at):
                 for symbols, _ in pieces(raw, at, a, b):
-                    for _, _, turn, slots, _ in depths(symbols, code):
-                        slots <<= np.uint32(1)
-                        slots |= turn[:, None]
-                        np.add.at(counts, slots.ravel().astype(np.intp), np.uint32(1))
+                    for _, turn, slots, _ in Bits(symbols, code):
+                        if held + len(turn) > places.shape[1]:
+                            add()
+                            held = 0
+                        for own, slot in zip(places, slots, strict=True):
+                            own = own[held : held + len(turn)]
+                            np.left_shift(slot, np.uint32(1), out=own)
+                            own |= turn
+                        held += len(turn)
+    add()
     parts = counts.reshape(-1, BLOCK)
     some = np.flatnonzero(parts.any(1))
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[b].tobytes() for b in some], pa.binary())], ["block", "packed"])
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([shrunk(parts[b]) for b in some], pa.binary())], ["block", "packed"])
+
+
+def shrunk(counts: np.ndarray) -> bytes:
+    """32-bit counts, first the low bytes of all, compressed."""
+    return pa.compress(counts.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def grown(packed: pa.Buffer, n: int) -> np.ndarray:
+    """The n counts of ``shrunk``."""
+    planes = np.frombuffer(pa.decompress(packed, 4 * n, "zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view(np.uint32).ravel()
 
 
 def _summed(group: pa.Table) -> pa.Table:
     total = np.zeros(BLOCK, np.int64)
     for x in group["packed"]:
-        total += np.frombuffer(x.as_buffer(), np.uint32)
+        total += grown(x.as_buffer(), BLOCK)
     packed = packed_counts(total[::2], total[1::2])
     return pa.table({"block": group["block"].slice(0, 1), "packed": pa.array([packed.tobytes()], pa.binary())})
 
 
-def _anchored(batches: Iterator[pa.RecordBatch], ahead: bool) -> Iterator[pa.RecordBatch]:
-    """Each text's distinct anchors, with what first follows or with the text's key."""
+def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's distinct anchors, with what first follows."""
     for whole in batches:
         for batch in slices(whole, "text"):
             raw, at = text_bytes(batch.column("text"))
@@ -494,18 +566,69 @@ def _anchored(batches: Iterator[pa.RecordBatch], ahead: bool) -> Iterator[pa.Rec
             new[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1])
             new &= place < at[text + 1]
             text, place, key = text[new], place[new], key[new]
-            if ahead:
-                upto = np.minimum(place + AHEAD, at[text + 1])
-                after = [raw[a:b].tobytes() for a, b in zip(place.tolist(), upto.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(after, pa.binary())], ["key", "ahead"])
-            else:
-                row = pa.array(text)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("doc_id", "hash")), pa.array(key)], ["doc_id", "hash", "key"])
+            upto = np.minimum(place + AHEAD, at[text + 1])
+            after = [raw[a:b].tobytes() for a, b in zip(place.tolist(), upto.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(after, pa.binary())], ["key", "ahead"])
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows with ``part``: runs of about ``most`` bytes of a task's rows."""
+    part, held = TaskContext.get().partitionId() << 32, 0
+    for whole in batches:
+        for batch in slices(whole, "text", min(most, 4 << 20)):
+            if held > most:
+                part, held = part + 1, 0
+            held += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part))], [*batch.schema.names, "part"])
+
+
+def in_parts(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs as a table of the shared folder, with ``part``; the rows of a part are neighbours in one file."""
+    most = PART
+    return stored(docs.mapInArrow(lambda b: _numbered(b, most), StructType([*docs.schema.fields, StructField("part", LongType())])), "mixing-texts", "zstd")
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    for whole in batches:
+        part = whole.column("part").to_numpy()
+        cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True):
+            for batch in slices(whole.slice(a, b - a), "text"):
+                yield int(part[a]), batch
+
+
+def _part_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, key): each part's distinct anchors."""
+
+    def rows() -> pa.RecordBatch:
+        keys = np.unique(np.concatenate(held))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), last)), pa.array(keys)], ["part", "key"])
+
+    last, held = -1, []
+    for part, batch in _by_part(batches):
+        if held and part != last:
+            yield rows()
+        last = part
+        held.append(anchors(*with_ends(*text_bytes(batch.column("text"))))[2])
+    if held:
+        yield rows()
+
+
+def _with_found(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, dict]]:
+    """Batches of one part each, with the passages at its anchors."""
+    last, found = -1, {}
+    for part, batch in _by_part(batches):
+        if part != last:
+            last, found = part, {}
+            if (rows := part_of_stored(path, "part", part)) is not None:
+                found = dict(zip(rows["key"].to_pylist(), zip(rows["ahead"].to_pylist(), rows["n"].to_pylist(), strict=True), strict=True))
+        yield batch, found
 
 
 def passages(docs: DataFrame) -> DataFrame:
     """(key, ahead, n): what most often follows an anchor, where it does in two documents or more."""
-    rows = docs.select("text").mapInArrow(lambda b: _anchored(b, True), "key long, ahead binary")
+    rows = docs.select("text").mapInArrow(_followed, "key long, ahead binary")
     often = rows.groupBy("key", "ahead").agg(F.count("*").alias("n")).where("n > 1")
     best = often.groupBy("key").agg(F.max(F.struct("n", "ahead")).alias("best"))
     return best.select("key", F.col("best.ahead").alias("ahead"), F.col("best.n").alias("n"))
@@ -522,23 +645,22 @@ def least_of_hot(rows: DataFrame, most: int) -> int:
     return least
 
 
-def _learned(batches: Iterator[pa.RecordBatch], shared, hot) -> Iterator[pa.RecordBatch]:
+def _learned(batches: Iterator[pa.RecordBatch], shared, hot, path: str) -> Iterator[pa.RecordBatch]:
     mixer, heat, seen = Mixer(*shared.value), np.zeros((PREDICTORS, GATES)), np.zeros(GATES, np.int64)
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            for symbols, match, *_ in _read(batch, hot.value, 3):
-                mixer.learn(symbols, match, heat, seen)
+    for batch, found in _with_found(batches, path):
+        for symbols, match, *_ in _read(batch, hot.value, 3, found):
+            mixer.learn(symbols, match, heat, seen)
     total = mixer.weights.astype(np.float64) * seen
     rows = [(k, g, total[k, g], int(seen[g])) for k in range(PREDICTORS) for g in range(GATES) if seen[g]]
     yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.float64(), pa.int64()))], ["predictor", "gate", "total", "n"])
 
 
-def _read(batch: pa.RecordBatch, hot: dict, least: int) -> Iterator[tuple]:
-    """The symbols of a batch (text, found) and their matches; first text and number of texts; whether it is the first piece."""
+def _read(batch: pa.RecordBatch, hot: dict, least: int, found: dict | None = None) -> Iterator[tuple]:
+    """The symbols of a batch and their matches; first text and number of texts; whether it is the first piece. found: passages of all its texts, else a column has each text's."""
     raw, at = text_bytes(batch.column("text"))
-    extra = batch.column("found").to_pylist()
+    extra = batch.column("found").to_pylist() if found is None else None
     for a, b in blocks(raw, at):
-        known = [{f["key"]: (f["ahead"], f["n"]) for f in own or ()} for own in extra[a:b]]
+        known = [found] * (b - a) if extra is None else [{f["key"]: (f["ahead"], f["n"]) for f in own or ()} for own in extra[a:b]]
         match = matches(*with_ends(raw, at[a : b + 1]), known, hot, least)
         for k, (symbols, which) in enumerate(pieces(raw, at, a, b)):
             yield symbols, None if match is None else (match[0][which], match[1][which]), a, b - a, k == 0
@@ -547,9 +669,12 @@ def _read(batch: pa.RecordBatch, hot: dict, least: int) -> Iterator[tuple]:
 class Trained:
     """Counts of a corpus (tables in the shared folder) and the model made from them."""
 
-    def __init__(self, docs: DataFrame):
-        """docs: doc_id, text."""
+    def __init__(self, docs: DataFrame, among: DataFrame | None = None):
+        """docs: doc_id, text. among: a table of ``in_parts`` of which docs are some rows, and which will be scored."""
         self.spark = spark = docs.sparkSession
+        own = None
+        if among is None:
+            docs, own = in_parts(docs.select("text"))
         texts = docs.select("text")
         self.words, words_path = stored(texts.mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "mixing-words")
         sums = self.words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -561,11 +686,12 @@ class Trained:
         self.hot_words = spark.sparkContext.broadcast((hot["word"].combine_chunks().cast(pa.large_binary()), np.append(hot["n"].to_numpy(), 0)))
         code = made_code(triples)
         drop_stored(spark, triples_path)
-        self.passages, passages_path = stored(passages(docs), "mixing-passages")
+        self.passages, passages_path = stored(passages(texts), "mixing-passages")
         release(spark)
         self.least_passage = least_of_hot(self.passages, HOT_PASSAGES)
         hot = self.passages.where(F.col("n") >= self.least_passage).toArrow()
         self.hot_passages = spark.sparkContext.broadcast(dict(zip(hot["key"].to_pylist(), zip(hot["ahead"].to_pylist(), hot["n"].to_pylist(), strict=True), strict=True)))
+        self.among, found = among, self.found(docs if among is None else among)
         shared = spark.sparkContext.broadcast(code)
         summed = texts.mapInArrow(lambda b: _table_blocks(b, shared), "block int, packed binary").groupBy("block").applyInArrow(_summed, "block int, packed binary")
         tables = np.zeros(HASHED << SLOT_BITS, np.uint16)
@@ -575,7 +701,7 @@ class Trained:
         release(spark)
         start = spark.sparkContext.broadcast((code, tables))
         hot = self.hot_passages
-        learned = self.with_passages(docs).mapInArrow(lambda b: _learned(b, start, hot), "predictor int, gate int, total double, n long").groupBy("predictor", "gate").agg(F.sum("total"), F.sum("n"))
+        learned = docs.select("part", "text").mapInArrow(lambda b: _learned(b, start, hot, found), "predictor int, gate int, total double, n long").groupBy("predictor", "gate").agg(F.sum("total"), F.sum("n"))
         weights = Mixer(code, tables).weights
         for k, g, total, n in learned.collect():
             weights[k, g] = total / n
@@ -584,16 +710,20 @@ class Trained:
         release(spark)
         self.model = spark.sparkContext.broadcast((code, tables, weights))
         self.paths = [words_path, passages_path]
+        if own:
+            drop_stored(spark, own)
+            drop_stored(spark, found)
+        else:
+            self.found_among = found
 
-    def with_passages(self, docs: DataFrame) -> DataFrame:
-        """docs with ``found``, the passages of each text's anchors that not every task knows."""
-        docs = docs.withColumn("hash", F.xxhash64("text"))
+    def found(self, docs: DataFrame) -> str:
+        """The folder of a table by part: the passages at the anchors of docs (text, part) that not every task knows."""
+        path = new_path(self.spark, "mixing-found")
         rare = self.passages.where(F.col("n") < self.least_passage)
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        keys = docs.select("doc_id", "hash", "text").mapInArrow(lambda b: _anchored(b, False), f"doc_id {kind}, hash long, key long").distinct()
-        found = keys.join(rare, "key").groupBy("doc_id", "hash").agg(F.collect_list(F.struct("key", "ahead", "n")).alias("found"))
-        same = docs["doc_id"].eqNullSafe(found["doc_id"]) & docs["hash"].eqNullSafe(found["hash"])
-        return docs.join(found, same, "left").select(*(docs[c] for c in docs.columns if c != "hash"), "found")
+        keys = docs.select("part", "text").mapInArrow(_part_keys, "part long, key long")
+        keys.join(rare, "key").repartition("part").write.partitionBy("part").parquet(path)
+        release(self.spark)
+        return path
 
     def done(self) -> None:
         """Delete the tables; what was made with them has to be written by then."""
@@ -601,38 +731,45 @@ class Trained:
             drop_stored(self.spark, path)
 
 
-def _scored(batches: Iterator[pa.RecordBatch], shared, hot_words, hot_passages) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], shared, hot_words, hot_passages, path: str) -> Iterator[pa.RecordBatch]:
     mixer, (hot, counts) = Mixer(*shared.value), hot_words.value
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            words = Words(batch.column("text"))
-            found = pc.fill_null(pc.index_in(words.distinct, value_set=hot), -1).to_numpy(zero_copy_only=False)
-            n = counts[found]
-            known = (n > 0)[words.codes]
-            sums = [np.concatenate([[0], np.cumsum(c)]) for c in (known, np.log10(n + 1.0)[words.codes])]
-            known_of, gain_of = (np.diff(c[words.at]) for c in sums)
-            rare = np.flatnonzero(~known)
-            others = pa.LargeListArray.from_arrays(pa.array(np.searchsorted(rare, words.at)), words.distinct.take(pa.array(words.codes[rare]))).cast(pa.list_(pa.binary()))
-            score, map_ = np.zeros(batch.num_rows), None
-            for symbols, match, a, n, first in _read(batch, hot_passages.value, 2):
-                if first:
-                    map_ = np.zeros((1 << 16, 2), np.float32) if len(symbols.raw) >= PIECE else None
-                score[a : a + n] += mixer.score(symbols, match, n, map_)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(words.at) + 1), pa.array(known_of), pa.array(gain_of), pa.array(np.round(score, 5)),
-                 pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64()), others],
-                ["doc_id", "held_out", "n_tokens", "hot_known", "hot_score", "score", "n_bytes", "rare"],
-            )
+    for batch, passages_ in _with_found(batches, path):
+        words = Words(batch.column("text"))
+        found = pc.fill_null(pc.index_in(words.distinct, value_set=hot), -1).to_numpy(zero_copy_only=False)
+        n = counts[found]
+        known = (n > 0)[words.codes]
+        sums = [np.concatenate([[0], np.cumsum(c)]) for c in (known, np.log10(n + 1.0)[words.codes])]
+        known_of, gain_of = (np.diff(c[words.at]) for c in sums)
+        rare = np.flatnonzero(~known)
+        others = pa.LargeListArray.from_arrays(pa.array(np.searchsorted(rare, words.at)), words.distinct.take(pa.array(words.codes[rare]))).cast(pa.list_(pa.binary()))
+        score, map_ = np.zeros(batch.num_rows), None
+        for symbols, match, a, n, first in _read(batch, hot_passages.value, 2, passages_):
+            if first:
+                map_ = np.zeros((1 << 16, 2), np.float32) if len(symbols.raw) >= PIECE else None
+            score[a : a + n] += mixer.score(symbols, match, n, map_)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(np.diff(words.at) + 1), pa.array(known_of), pa.array(gain_of), pa.array(np.round(score, 5)),
+             pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64()), others],
+            ["doc_id", "held_out", "n_tokens", "hot_known", "hot_score", "score", "n_bytes", "rare"],
+        )
 
 
 def score(docs: DataFrame, trained: Trained) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of docs (doc_id, held_out, text)."""
     model, words, hot = trained.model, trained.hot_words, trained.hot_passages
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = trained.with_passages(docs.select("doc_id", "held_out", "text")).mapInArrow(
-        lambda b: _scored(b, model, words, hot), f"doc_id {kind}, held_out boolean, n_tokens long, hot_known long, hot_score double, score double, n_bytes long, rare array<binary>"
+    if docs is trained.among:
+        path, own, trained.among = trained.found_among, None, None
+    else:
+        docs, own = in_parts(docs.select("doc_id", "held_out", "text"))
+        path = trained.found(docs)
+    rows = docs.select("doc_id", "held_out", "text", "part").mapInArrow(
+        lambda b: _scored(b, model, words, hot, path), f"doc_id {kind}, held_out boolean, n_tokens long, hot_known long, hot_score double, score double, n_bytes long, rare array<binary>"
     )
     rows, _ = stored(rows, "mixing-scored")
+    drop_stored(docs.sparkSession, path)
+    if own:
+        drop_stored(docs.sparkSession, own)
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     rare = rows.select("row", F.explode("rare").alias("word")).join(trained.words.where(F.col("n") < trained.least), "word").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("gain"))
     end = int(trained.texts > 0)
@@ -644,5 +781,7 @@ def score(docs: DataFrame, trained: Trained) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return score(docs, Trained(docs.where(~F.col("held_out"))))
+    docs, path = in_parts(table(spark, sf_dir, "documents").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"))
+    rows = score(docs, Trained(docs.where(~F.col("held_out")), docs))
+    drop_stored(spark, path)
+    return rows
