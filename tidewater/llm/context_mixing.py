@@ -444,7 +444,10 @@ class Words:
     """The words of some texts, lower-cased, each distinct one once."""
 
     def __init__(self, column: pa.Array):
-        split = pc.ascii_split_whitespace(pc.ascii_lower(column.cast(pa.large_string()).fill_null("")))
+        # ascii_lower takes an array's first offset for 0, which it is not where a slice was cast: other rows' bytes would be read
+        raw, at = text_bytes(column)
+        texts = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(raw))
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         at = split.offsets.to_numpy()
         flat = split.values.slice(int(at[0]), int(at[-1] - at[0]))
         some = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
@@ -738,8 +741,9 @@ def _scored(batches: Iterator[pa.RecordBatch], shared, hot_words, hot_passages,
         found = pc.fill_null(pc.index_in(words.distinct, value_set=hot), -1).to_numpy(zero_copy_only=False)
         n = counts[found]
         known = (n > 0)[words.codes]
-        sums = [np.concatenate([[0], np.cumsum(c)]) for c in (known, np.log10(n + 1.0)[words.codes])]
-        known_of, gain_of = (np.diff(c[words.at]) for c in sums)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(words.at))
+        known_of = np.bincount(row[known], minlength=batch.num_rows)
+        gain_of = np.bincount(row, np.log10(n + 1.0)[words.codes], batch.num_rows)  # by row: what others add up to costs no digits
         rare = np.flatnonzero(~known)
         others = pa.LargeListArray.from_arrays(pa.array(np.searchsorted(rare, words.at)), words.distinct.take(pa.array(words.codes[rare]))).cast(pa.list_(pa.binary()))
         score, map_ = np.zeros(batch.num_rows), None
