@@ -494,6 +494,21 @@ def test_long_texts_in_pieces(monkeypatch):
     assert b"".join(p.raw.tobytes() for p, _ in parts) == text.encode() + b"\xff" and [w.stop for _, w in parts[:2]] == [3000, 6000]
 
 
+def test_chance_of_a_rare_turn():
+    """A turn that came after many of the other kind cost minus infinity: 1 less a chance that rounds to 1."""
+    turn = np.append(np.ones(100_000, np.uint64), np.uint64(0))
+    for flip in (np.uint64(0), np.uint64(1)):
+        p = np.full(len(turn), 8e-7 if flip else 1 - 8e-7, np.float32)
+        key = np.arange(len(turn), dtype=np.uint64) << np.uint64(1) | turn ^ flip
+        for before in (None, np.zeros((1 << 16, 2), np.float32)):
+            left = None if before is None else np.zeros_like(before)
+            got, text = context_mixing.refined(p, key.copy(), np.arange(len(turn)), before, left)
+            unlikely = float(p[0]) if flip else 1 - float(p[0])
+            assert got[-1] == pytest.approx(context_mixing.TRUST * unlikely / (100_000 + context_mixing.TRUST), rel=1e-3)
+            assert got[:-1].min() > 0.999 and not text.any()
+            assert left is None or left[0].tolist() == ([100_000, 1] if flip else [1, 100_000])
+
+
 def test_words_of_a_column():
     texts = ["", " A b\ta ", "x", None, "É\u00a0é B", "\n\n"]
     words = context_mixing.Words(pa.array(texts, pa.string()))

@@ -373,8 +373,8 @@ class Mixer:
         for spot, turn, gate, gates, x in bits:
             p = chance(self.mixed(gate, gates, x), 14)
             key = spot >> np.uint32(18) << np.uint32(2) | (p * np.float32(3.999)).astype(np.uint32)
-            p, turn, text = refined(p, key.astype(np.uint64) << np.uint64(39) | place[: len(p)] | turn, rank, map_, left)
-            cost += np.bincount(text, np.log(np.where(turn, p, 1 - p)), n)
+            p, text = refined(p, key.astype(np.uint64) << np.uint64(39) | place[: len(p)] | turn, rank, map_, left)
+            cost += np.bincount(text, np.log(p), n)
         if map_ is not None:
             map_ += left
         return cost / np.log(10)
@@ -389,8 +389,10 @@ def chance(z: np.ndarray, most: float) -> np.ndarray:
     return np.reciprocal(z, out=z)
 
 
-def refined(p: np.ndarray, key: np.ndarray, rank: np.ndarray, before: np.ndarray | None, left: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """p, drawn to the share of ones among the bits with the same bucket that came earlier in the same text; turns and texts.
+def refined(p: np.ndarray, key: np.ndarray, rank: np.ndarray, before: np.ndarray | None, left: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The chance of the turn that each bit took: by p, drawn to the share of that turn among the bits with the same bucket that came earlier in the same text; texts.
+
+    It is made from that turn's own count: less the other's chance, it would be 0 where that one rounds to 1.
 
     key: bucket, text, place and turn of each bit. The results are in the keys' order; rank: where in p a place is.
     """
@@ -405,14 +407,16 @@ def refined(p: np.ndarray, key: np.ndarray, rank: np.ndarray, before: np.ndarray
     earlier = np.cumsum(ones, dtype=np.int32) - ones
     n1 = (earlier - np.repeat(earlier.take(first), size)).astype(np.float32)
     n = (np.arange(len(p), dtype=np.int32) - np.repeat(first.astype(np.int32), size)).astype(np.float32)
+    turn = ones != 0
+    taken = np.where(turn, n1, n - n1)
     if before is not None:
         bucket = (key >> np.uint64(39)).view(np.int64)
-        n, n1 = n + before[bucket].sum(1), n1 + before[bucket, 1]
+        n, taken = n + before[bucket].sum(1), taken + before[bucket, ones]
         left += np.stack([np.bincount(bucket[ones == t], minlength=1 << 16) for t in (0, 1)], 1)
-    n1 += np.float32(TRUST) * p
+    taken += np.float32(TRUST) * np.where(turn, p, 1 - p)
     n += np.float32(TRUST)
-    n1 /= n
-    return n1, ones != 0, (text & np.uint64((1 << 13) - 1)).view(np.int64)
+    taken /= n
+    return taken, (text & np.uint64((1 << 13) - 1)).view(np.int64)
 
 
 def blocks(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
