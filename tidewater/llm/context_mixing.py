@@ -747,7 +747,7 @@ def _scored(batches: Iterator[pa.RecordBatch], shared, hot_words, hot_passages,
         known = (n > 0)[words.codes]
         row = np.repeat(np.arange(batch.num_rows), np.diff(words.at))
         known_of = np.bincount(row[known], minlength=batch.num_rows)
-        gain_of = np.bincount(row, np.log10(n + 1.0)[words.codes], batch.num_rows)  # by row: what others add up to costs no digits
+        gain_of = np.bincount(row, np.log10(n + 1.0)[words.codes], batch.num_rows).astype(np.float64)  # by row: what others add up to costs no digits; integers where there is no word
         rare = np.flatnonzero(~known)
         others = pa.LargeListArray.from_arrays(pa.array(np.searchsorted(rare, words.at)), words.distinct.take(pa.array(words.codes[rare]))).cast(pa.list_(pa.binary()))
         score, map_ = np.zeros(batch.num_rows), None
